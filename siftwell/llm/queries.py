@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.llm.fingerprints import edited_fingerprints, text_form
 from siftwell.llm.mixing import mix_sources
 from siftwell.llm.near_dedup import near_duplicates
 from siftwell.llm.packing import pack
@@ -36,6 +37,11 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = edited_fingerprints(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), text_form(F.col("fingerprint")).alias("fingerprint"), text_form(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -45,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op5_mixing": op5_mixing,
     "op6_near_dedup": op6_near_dedup,
+    "op9_fingerprints": op9_fingerprints,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
