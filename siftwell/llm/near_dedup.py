@@ -1,7 +1,7 @@
 """MinHash near-duplicates by bottom-k sketches of one hash function.
 
 1. One pass over the texts gives each document its set of distinct word shingles (64-bit hashes), the
-   k smallest of them (the sketch) and a 128-bit key of the whole set.  Documents with equal sets fall
+   k smallest of them (the sketch) and a key of the whole set.  Documents with equal sets fall
    together to one class, so groups of exact copies cost one row from here on.
 2. Two sets of Jaccard similarity t share at least ``need`` retained values (all but ``MISS`` of the
    time, a binomial tail).  So, in any fixed total order of the values, they share one among the first
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.components import components
-from siftwell.llm.shared import LOWER, map_arrow, mix, pick, shingle_sets, slices, text_buffers, written
+from siftwell.llm.shared import LOWER, discard, likely, map_arrow, mix, pick, shingle_sets, slices, text_buffers, written
 
 #: Chance that a pair at the threshold fails the tests on sketches.
 MISS = 1e-10
@@ -48,26 +48,30 @@ def tail(k: int, t: float) -> int:
     return x
 
 
-def set_key(s: np.ndarray) -> bytes:
-    """16 bytes that name a set of 64-bit hashes."""
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """Two longs that name a set of 64-bit hashes; the first serves as the number of its class."""
     n = np.uint64(len(s))
-    return np.array([s.sum(dtype=np.uint64) + n, np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))) ^ n], np.uint64).tobytes()
+    return int((s.sum(dtype=np.uint64) + n).view(np.int64)), int((np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))) ^ n).view(np.int64))
 
 
-def _sets(width: int, keep: int | None):
-    """Rows of id, n, key and the shingles: the ``keep`` smallest, or all."""
+def _sets(width: int, keep: int | None, has=None):
+    """Rows of id, n, node and more (the key) and the shingles: the ``keep`` smallest, or all.  has: ids to take."""
 
     def run(batches):
         for part in slices(batches, "text"):
+            if has is not None:
+                part = part.filter(pa.array(has(part.column(0).to_numpy(zero_copy_only=False))))
+                if not part.num_rows:
+                    continue
             data, off = text_buffers(part.column(1))
             n, key, values = [], [], []
             for s in shingle_sets(LOWER[data], off, width):
                 n.append(len(s))
-                key.append(set_key(s) if len(s) else None)
+                key.append(set_key(s))
                 values.append((s if keep is None else s[:keep]).view(np.int64))
             ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), lists], ["id", "n", "key", "values"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array([k[0] for k in key], pa.int64()), pa.array([k[1] for k in key], pa.int64()), lists], ["id", "n", "node", "more", "values"])
 
     return run
 
@@ -166,21 +170,25 @@ def _across(whole: int, percent: int, least: int):
     return run
 
 
+SETS = "id long, n long, node long, more long, values array<long>"
+
+
 def _full(docs: DataFrame, nodes: DataFrame, width: int, keep: int | None) -> DataFrame:
     """node, n, values of the nodes listed, read from their texts again."""
-    texts = docs.join(nodes.select("id").distinct(), "id", "left_semi")
-    full = map_arrow(texts, _sets(width, keep), "id long, n long, key binary, values array<long>").select("key", "n", "values")
-    return written(full.join(nodes.select("key", "node"), "key").groupBy("node").agg(F.first("n").alias("n"), F.first("values").alias("values")))
+    full = map_arrow(docs.filter("id IS NOT NULL"), _sets(width, keep, likely(nodes.select("id"))), SETS)
+    return written(full.join(nodes.select("node", "id"), ["node", "id"]).dropDuplicates(["node"]).select("node", "n", "values"))
 
 
 def _exact(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose full sets have the similarity."""
     pairs = written(pairs)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "id", "key"), "node")
-    full = _full(docs, wanted, width, None)
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "id"), "node")
+    full = _full(docs, written(wanted), width, None)
     A, B = (full.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("values").alias(f"v{x}")) for x in "ab")
     inter = F.size(F.array_intersect("va", "vb"))
-    return written(pairs.join(B, "b").join(A, "a").filter(100 * inter >= percent * (F.col("na") + F.col("nb") - inter)).select("a", "b"))
+    out = written(pairs.join(B, "b").join(A, "a").filter(100 * inter >= percent * (F.col("na") + F.col("nb") - inter)).select("a", "b"))
+    discard(full)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, k: int = 64) -> DataFrame:
@@ -201,11 +209,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("percent lies in 1..100")
     docs = pick(docs, id=f"{id_col}:long", text=f"{text_col}:string")
     t, need = percent / 100, tail(k, percent / 100)
-    sets = written(map_arrow(docs, _sets(width, k), "id long, n long, key binary, values array<long>"))
-    linked = sets.filter("n > 0 AND id IS NOT NULL")
-    nodes = written(linked.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("values").alias("values")))
-    nodes = nodes.select(F.monotonically_increasing_id().alias("node"), "id", "n", "key", "values")
-    nodes = written(nodes)
+    raw = written(map_arrow(docs, _sets(width, k), SETS))
+    sets = written(raw.select("id", "n", "node", "more"))
+    chosen = sets.filter("n > 0 AND id IS NOT NULL").groupBy("node", "more").agg(F.min("id").alias("id"))
+    nodes = written(raw.join(chosen, ["node", "more", "id"]).dropDuplicates(["node"]).select("node", "id", "n", "values"))
+    discard(raw)
 
     table = np.zeros(BUCKETS, np.int64)
     counts = nodes.select(F.explode("values").alias("v")).select((F.col("v").bitwiseAND(BUCKETS - 1)).alias("at")).groupBy("at").count()
@@ -219,23 +227,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A, B = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("values").alias(f"s{x}")) for x in "ab")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     near = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union)) >= (t - NEAR) * F.size(union)
-    likely = pairs.join(A, "a").join(B, "b").filter(F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")).filter(near).select("a", "b")
-    first = _exact(likely, docs, nodes, width, percent)
+    probable = pairs.join(A, "a").join(B, "b").filter(F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")).filter(near).select("a", "b")
+    first = _exact(probable, docs, nodes, width, percent)
     roots = written(components(first))
 
     placed = written(lists.join(roots, "node", "left").select("v", "node", F.coalesce("root", "node").alias("comp")))
     open_ = placed.groupBy("v").agg(F.count("*").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("members > 1 AND low <> high").select("v", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     rest = placed.join(open_, "v").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = written(rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("v", "node", "comp", "side", F.concat_ws(",", F.least("side", "other"), F.greatest("side", "other")).alias("block")))
-    full = _full(docs, rest.select("node").distinct().join(nodes.select("node", "id", "key"), "node"), width, WHOLE)
+    full = _full(docs, written(rest.select("node").distinct().join(nodes.select("node", "id"), "node")), width, WHOLE)
     rest = rest.join(full, "node").repartition("v", "block").sortWithinPartitions("v", "block")
     more = written(map_arrow(rest.select("v", "block", "node", "n", "comp", "side", "values"), _across(WHOLE, percent, tail(WHOLE, t)), "a long, b long, sure boolean").distinct())
     second = more.filter("sure").select("a", "b").union(_exact(more.filter("NOT sure").select("a", "b"), docs, nodes, width, percent))
     roots = components(first.union(second))
 
-    named = nodes.select("node", "key", "id").join(roots, "node", "left").select("key", "id", F.coalesce("root", "node").alias("root"))
+    named = nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least_id = named.groupBy("root").agg(F.min("id").alias("component"))
-    named = named.join(least_id, "root").select("key", "component")
-    out = sets.select("id", "n", "key").join(named, "key", "left")
-    component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "id")).cast("long")
+    named = named.join(least_id, "root").select("node", "component")
+    out = sets.select("id", "n", "node").join(named, "node", "left")
+    component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))).cast("long")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -11,6 +11,7 @@ from siftwell.llm.fingerprints import edited_fingerprints, text_form
 from siftwell.llm.mixing import mix_sources
 from siftwell.llm.near_dedup import near_duplicates
 from siftwell.llm.packing import pack
+from siftwell.llm.pii import personal_data
 from siftwell.llm.substring_dedup import remove_repeats
 
 
@@ -37,6 +38,11 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = personal_data(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_added")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = edited_fingerprints(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), text_form(F.col("fingerprint")).alias("fingerprint"), text_form(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op5_mixing": op5_mixing,
     "op6_near_dedup": op6_near_dedup,
+    "op7_pii": op7_pii,
     "op9_fingerprints": op9_fingerprints,
     "op10_substring_dedup": op10_substring_dedup,
 }

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MADE: list[tuple[SparkSession, str]] = []
+_MADE: list[tuple[SparkSession, str, DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,22 +39,31 @@ def written(df: DataFrame, free: bool = True) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siftwell-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _MADE.append((spark, path))
     back = spark.read.schema(df.schema).parquet(path)
+    _MADE.append((spark, path, back))
     if free:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
     return back
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what ``written`` returned as ``df``; nothing that is still to run may read it."""
+    at = next((i for i, x in enumerate(_MADE) if x[2] is df), None)
+    if at is not None:
+        _delete(*_MADE.pop(at)[:2])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_written() -> None:
     """Delete what ``written`` has left; results that still read it must be stored before."""
     while _MADE:
-        spark, path = _MADE.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(*_MADE.pop()[:2])
         except Exception:  # the session may be gone at exit
             return
 
@@ -210,9 +219,44 @@ def binary_array(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
 
 
+#: Bits of the filter that likely() sends to all executors.
+FILTER_BITS = 1 << 25
+
+
+def _filter_places(x: np.ndarray) -> np.ndarray:
+    h = mix(x.view(np.uint64))
+    return np.stack([(h >> np.uint64(s)) & np.uint64(FILTER_BITS - 1) for s in (0, 20, 39)])
+
+
+def likely(ids: DataFrame):
+    """A Bloom filter of a column of longs, of fixed size, as a function of arrays of longs.
+
+    It only saves work: all rows wanted pass, and the exact join comes after.
+    """
+
+    def run(batches):
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            bits[_filter_places(batch.column(0).to_numpy(zero_copy_only=False)).ravel()] = True
+        if bits.any():
+            at = np.flatnonzero(np.packbits(bits))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.packbits(bits)[at].astype(np.int16))], ["at", "bits"])
+
+    merged = ids.coalesce(8).mapInArrow(run, "at long, bits short").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    table = np.zeros(FILTER_BITS // 8, np.uint8)
+    for batch in merged.toArrow().to_batches():
+        table[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+
+    def has(x: np.ndarray) -> np.ndarray:
+        at = _filter_places(x)
+        return ((table[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1).all(0)
+
+    return has
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow, named so that callers read alike."""
     return df.mapInArrow(fn, schema)
 
 
-__all__ = ["F", "binary_array", "drop_written", "fresh", "grams", "map_arrow", "mix", "pick", "shared_dir", "shingle_sets", "slices", "span_hashes", "text_buffers", "words", "written"]
+__all__ = ["binary_array", "discard", "drop_written", "fresh", "grams", "likely", "map_arrow", "mix", "pick", "shared_dir", "shingle_sets", "slices", "span_hashes", "text_buffers", "words", "written"]
