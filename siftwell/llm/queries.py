@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm.fingerprints import edited_fingerprints, text_form
+from siftwell.llm.html_text import extract_text
 from siftwell.llm.mixing import mix_sources
 from siftwell.llm.near_dedup import near_duplicates
 from siftwell.llm.packing import pack
@@ -43,6 +44,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_added")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = edited_fingerprints(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), text_form(F.col("fingerprint")).alias("fingerprint"), text_form(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_near_dedup": op6_near_dedup,
     "op7_pii": op7_pii,
+    "op8_html_text": op8_html_text,
     "op9_fingerprints": op9_fingerprints,
     "op10_substring_dedup": op10_substring_dedup,
 }
