@@ -168,9 +168,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21)
             at = to
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words in the bytes, and for each document the index of its first word."""
-    inside = ~SPACE[data]
+def words(data: np.ndarray, off: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words in the bytes, and for each document the index of its first word.
+
+    gap: the bytes between words."""
+    inside = ~gap[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
