@@ -37,10 +37,10 @@ class Dense:
         self.x, self.shape = x, x.shape
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return self.x @ w
+        return (self.x @ w.astype(self.x.dtype)).astype(float)
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return r @ self.x
+        return (r.astype(self.x.dtype) @ self.x).astype(float)
 
     def take(self, keep: np.ndarray) -> Dense:
         return Dense(self.x[keep])
