@@ -177,6 +177,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return chain
 
 
+def rejected(chain: Chain, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Whether the chain calls each text toxic; texts without any known feature never are."""
+    x = chain.matrix(data, off)
+    return (chain.predict(x)[:, -1] >= chain.threshold) & (np.bincount(x.row, minlength=x.shape[0]) > 0)
+
+
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores every whole text by a trained chain.
 
