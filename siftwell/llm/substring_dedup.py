@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.shared import grams, map_arrow, mix, pick, slices, span_hashes, text_buffers, words, written
+from siftwell.llm.shared import discard, grams, map_arrow, mix, pick, slices, span_hashes, text_buffers, words, written
 
 _SIDE = 4
 _NONE = np.uint64(2**64 - 1)
@@ -171,7 +171,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = keyed.groupBy("node", "more").agg(F.min("id").alias("least"))
     status = written(keyed.join(least, ["node", "more"]).groupBy("id").agg(F.min(F.col("id") > F.col("least")).alias("copy")))
 
-    named = written(map_arrow(known, _named(window), "name long, node long"))
+    named = map_arrow(known, _named(window), "name long, node long")  # made twice rather than stored
     shared = named.groupBy("name").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("name")
     held = written(named.join(shared, "name").groupBy("node").agg(F.collect_list("name").alias("names")))
     held = held.join(keyed.groupBy("node", "more").agg(F.min("id").alias("id")).select("node", "id"), "node").select("id", "names")
@@ -181,5 +181,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = windows.groupBy("w").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("w", "first")
     gone = written(windows.join(first, "w").filter("id > first").groupBy("id").agg(F.collect_list("w").alias("gone")))
 
+    discard(windows)
+
     plan = status.filter("copy").select("id", "copy", F.lit(None).cast("array<long>").alias("gone")).union(gone.select("id", F.lit(False), "gone"))
     return map_arrow(docs.join(plan, "id", "left").select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "gone"), _cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
