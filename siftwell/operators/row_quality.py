@@ -13,11 +13,15 @@ LENGTHS = (30, 60, 100, 200, 300)
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits of the characters of a string; 0 for an empty or null one."""
     chars = F.array_sort(F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != ""))
-    n = F.size(chars)
-    ends = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i == n - 1) | (F.get(chars, i) != F.get(chars, i + 1)))
-    step = lambda m, e: F.struct((e + 1).alias("at"), (m["h"] + (e + 1 - m["at"]) / n * F.log2(n.cast("double") / (e + 1 - m["at"]))).alias("h"))
-    total = F.aggregate(ends, F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("h")), step, lambda m: m["h"])
-    return F.when(n > 0, total).otherwise(F.lit(0.0))
+
+    def of(chars: Column) -> Column:
+        n = F.size(chars)
+        ends = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i == n - 1) | (F.get(chars, i) != F.get(chars, i + 1)))
+        step = lambda m, e: F.struct((e + 1).alias("at"), (m["h"] + (e + 1 - m["at"]) / n * F.log2(n.cast("double") / (e + 1 - m["at"]))).alias("h"))
+        total = F.aggregate(ends, F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("h")), step, lambda m: m["h"])
+        return F.when(n > 0, total).otherwise(F.lit(0.0))
+
+    return F.get(F.transform(F.array(chars), of), F.lit(0))  # an array of one, so that the characters are sorted once
 
 
 def row_scores(df: DataFrame, fields: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
