@@ -32,10 +32,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _csv(spark: SparkSession, path: str, names: Sequence[str] | None, sep: str = ",", encoding: str = "ISO-8859-1") -> DataFrame:
-    read = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("escape", '"').option("nullValue", "\0").option("emptyValue", "").option("inferSchema", False)
+    read = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("escape", '"').option("inferSchema", False)
     if names:
         read = read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).option("enforceSchema", True)
-    return read.csv(path)
+    return read.option("mode", "DROPMALFORMED").csv(path).fillna("")  # an empty field is an empty string
 
 
 def read_csv_raw(spark: SparkSession, folder: str) -> Dataset:
