@@ -247,6 +247,27 @@ def _cells_union(base: str, features: Sequence[str]) -> str:
 
 _EVENT_CELLS = "WITH " + _cells_union(sql_events(), EVENT_FEATURES)
 
+_REL = (("x0", "p_brand", "p_size"), ("x1", "p_brand", "p_name"), ("x2", "p_size", "p_name"))
+SQL_THREE_MR = (
+    "WITH "
+    + sql_counts(f"SELECT *, {', '.join(f'{a} || {b} AS {x}' for x, a, b in _REL)} FROM ({SQL_PART})", [*pairs.relation_pairs(PART, "p_type"), *((x, "p_type") for x, *_ in _REL)])
+    + ", "
+    + sql_median("sum(CAST(n AS DOUBLE) / total * ln(CAST(total AS DOUBLE) * n / (CAST(nx AS DOUBLE) * ny)))")
+    + """, p AS (SELECT 'relevance' AS part, FeatureA AS a, FeatureB AS b, Score FROM r WHERE FeatureB = 'p_type' AND FeatureA IN ('p_brand', 'p_size', 'p_name')
+ UNION ALL SELECT 'redundancy', FeatureA, FeatureB, Score FROM r WHERE FeatureA <> 'p_type' AND FeatureB <> 'p_type'"""
+    + "".join(f" UNION ALL SELECT 'relation', '{a}', '{b}', Score FROM r WHERE FeatureA = '{x}' UNION ALL SELECT 'relation', '{b}', '{a}', Score FROM r WHERE FeatureA = '{x}'" for x, a, b in _REL)
+    + """), w AS (SELECT *, min(Score) OVER (PARTITION BY part) AS lo, max(Score) OVER (PARTITION BY part) AS hi FROM p)
+SELECT part, a, b, round((Score - lo) / (hi - lo), 6) + 0.0 AS score FROM w"""
+)
+SQL_ROWS = """WITH b AS (SELECT event_id, event_type AS t, props, '0' AS z, CASE WHEN event_id % 3 = 0 THEN '' ELSE '{}' END AS e FROM events),
+ f AS (SELECT event_id, unnest([t, props, z, e]) AS v FROM b),
+ k AS (SELECT event_id, count(*) FILTER (WHERE v = '') / 4.0 AS empty, count(*) FILTER (WHERE v = '{}') / 4.0 AS empty_json, count(*) FILTER (WHERE v IN ('', '{}')) / 4.0 AS missing,
+  count(*) FILTER (WHERE v = '0') / 4.0 AS zero, """ + ", ".join(f"count(*) FILTER (WHERE length(v) > {n}) / 4.0 AS over_{n}" for n in row_quality.LENGTHS) + """ FROM f GROUP BY event_id),
+ c AS (SELECT event_id, i, unnest(string_split(v, '')) AS ch, length(v) AS n FROM (SELECT event_id, unnest([t, props, e]) AS v, unnest([1, 2, 3]) AS i FROM b)),
+ m AS (SELECT event_id, i, ch, CAST(count(*) AS DOUBLE) AS k, max(n) AS n FROM c WHERE ch <> '' GROUP BY ALL),
+ h AS (SELECT event_id, -sum(k / n * log2(k / n)) AS entropy FROM m GROUP BY event_id)
+SELECT k.*, round(entropy, 6) + 0.0 AS entropy FROM k JOIN h USING (event_id)"""
+
 ORACLE_SQL: dict[str, str] = {
     "rank_target_mi_randomized": f"WITH {sql_random(sql_orders(), ORDERS, LABEL)} {SQL_OUT}",
     "rank_stratified": f"WITH {sql_random(sql_orders(), ORDERS, LABEL, 0.3)} {SQL_OUT}",
@@ -285,4 +306,7 @@ ORACLE_SQL: dict[str, str] = {
     "heatmap": f"{_MI_PART}, b AS (SELECT FeatureA, FeatureB, Score FROM r UNION ALL SELECT FeatureB, FeatureA, Score FROM r) SELECT FeatureA, FeatureB, round(avg(Score), 6) + 0.0 AS Score FROM b WHERE FeatureA > FeatureB GROUP BY ALL",
     "barplot_topk": f"{_MI_TARGET} SELECT FeatureA AS Feature, round(Score, 6) + 0.0 AS Score, false AS known FROM r ORDER BY Score DESC, FeatureA LIMIT 3",
     "decorated_names": f"{_MI_TARGET}, n AS (SELECT " + ", ".join(f"count(DISTINCT {f}) AS {f}" for f in (*ORDERS, LABEL)) + " FROM base) SELECT FeatureA || '-(' || CASE FeatureA " + " ".join(f"WHEN '{f}' THEN n.{f}" for f in ORDERS) + f" END || '; 100)' AS FeatureA, FeatureB || '-(' || n.{LABEL} || '; 100)' AS FeatureB, round(Score, 6) + 0.0 AS Score FROM r, n",
+    "numeric_summary": "WITH base AS (" + sql_events(4096) + "), c AS (SELECT batch, 'value' AS feature, CAST(value AS DOUBLE) AS v FROM base UNION ALL SELECT batch, 'bucket', CAST(bucket AS DOUBLE) FROM base), b AS (SELECT batch, feature, min(v) AS lo, max(v) AS hi, avg(v) AS m, count(DISTINCT v) AS u FROM c GROUP BY ALL) SELECT feature, round(min(lo), 2) AS minimum, round(max(hi), 2) AS maximum, round(median(m), 2) AS median, CAST(floor(avg(u)) AS BIGINT) AS uniques FROM b GROUP BY feature",
+    "three_mr": SQL_THREE_MR,
+    "row_quality": SQL_ROWS,
 }
