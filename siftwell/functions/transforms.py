@@ -152,6 +152,11 @@ _OF_X = {
     "div(x,abs(x))*log10(abs(x))": f"({div('x', 'abs(x)')}) * ({log('abs(x)', 'log10')})",
     "log10*sqrt": f"({log('(x + 1D)', 'log10')}) * sqrt(x)",
     "log10*100": f"rint(({log('(x + 1D)', 'log10')}) * 100D)",
+    "log10_abs(x+1)": log("(abs(x) + 1D)", "log10"),
+    "log10_squared(abs(x)+1)": log("(pow(abs(x), 2D) + 1D)", "log10"),
+    "div_squared(x,abs(x))*log10(abs(x))": f"({div('pow(x, 2D)', 'abs(x)')}) * ({log('abs(x)', 'log10')})",
+    "log10*sqrt_squared": f"({log('(pow(x, 2D) + 1D)', 'log10')}) * sqrt(pow(x, 2D))",
+    "log10*100_squared": f"rint(({log('(pow(x, 2D) + 1D)', 'log10')}) * 100D)",
     "square_root_abs": "sqrt(abs(x))",
     "log1p_abs": log1p("abs(x)"),
     "exp_minus_one": "expm1(x)",
@@ -251,8 +256,8 @@ PRESETS: dict[str, dict[str, str]] = {
     "extended_rounded": _rounded(),
     "fw-transformers": DEFAULT | _two_sided(),
 }
-#: Transforms that need other rows by their place; see enrich.transform_rows.
-BY_PLACE = ("_tr_reverse", "_tr_sort", "_tr_argsort", "_tr_cumulative_prod")
+#: Transforms that need other rows by their place; see enrich.place_rows.
+BY_PLACE = ("_tr_reverse", "_tr_sort", "_tr_argsort", "_tr_cumulative_prod", "_tr_reverse_squared", "_tr_sort_squared", "_tr_argsort_squared", "_tr_cumulative_prod_abs")
 
 _FUNCTIONS = {"sqrt": "sqrt({})", "log": "LOG", "log1p": "LOG1P", "log2": "LOG2", "log10": "LOG10", "exp": "exp({})", "expm1": "expm1({})", "abs": "abs({})", "square": "pow({}, 2D)", "sin": "sin({})", "cos": "cos({})", "tan": "tan({})", "tanh": "tanh({})", "sinh": "sinh({})", "cosh": "cosh({})", "arctan": "atan({})", "sign": "signum({})", "cbrt": "cbrt({})", "round": "rint({})", "rint": "rint({})", "floor": "double(floor({}))", "ceil": "double(ceil({}))", "maximum": "greatest({}, {})", "minimum": "least({}, {})", "power": "pow({}, {})", "max": "max({}) OVER {{b}}", "min": "min({}) OVER {{b}}", "mean": "avg({}) OVER {{b}}", "std": "stddev_pop({}) OVER {{b}}", "median": "percentile({}, 0.5D) OVER {{b}}", "where": "IF({}, {}, {})", "clip": "CLIP"}
 

@@ -34,9 +34,11 @@ def transform_rows(df: DataFrame, columns: Sequence[str], transforms: dict[str,
     return wide.select("batch", "idx", pieces.alias("p")).select("batch", "idx", "p.*")
 
 
-def place_transforms(df: DataFrame, column: str) -> DataFrame:
-    """batch, idx and the transforms that look at rows by place: reverse, sort, argsort, running product."""
-    x = df.select("batch", "pos", "idx", numeric(column).alias("x"))
+def place_transforms(df: DataFrame, column: str, of: str = "x") -> DataFrame:
+    """batch, idx and the transforms that look at rows by place: reverse, sort, argsort, running product.
+
+    of: an expression of x, as x itself, pow(x, 2D) or abs(x)."""
+    x = df.select("batch", "pos", "idx", numeric(column).alias("x")).withColumn("x", F.expr(of))
     w = Window.partitionBy("batch")
     x = x.withColumn("n", F.count("*").over(w)).withColumn("order", F.row_number().over(w.orderBy("x", "pos")) - 1)
     by = x.select(F.col("batch").alias("b2"), F.col("pos").alias("p2"), F.col("x").alias("reverse"))
@@ -46,6 +48,16 @@ def place_transforms(df: DataFrame, column: str) -> DataFrame:
     return out.select("batch", "idx", "reverse", "sort", "argsort", running.alias("cumulative_prod"))
 
 
+def place_rows(df: DataFrame, column: str) -> DataFrame:
+    """batch, idx, feature, value of all transforms by place."""
+    out = None
+    for of, suffix, names in (("x", "", ("reverse", "sort", "argsort", "cumulative_prod")), ("pow(x, 2D)", "_squared", ("reverse", "sort", "argsort")), ("abs(x)", "_abs", ("cumulative_prod",))):
+        pieces = F.explode(F.array(*(F.struct(F.lit(f"{column}_tr_{n}{suffix}").alias("feature"), F.col(n).cast("string").alias("value")) for n in names)))
+        one = place_transforms(df, column, of).select("batch", "idx", pieces.alias("p")).select("batch", "idx", "p.*")
+        out = one if out is None else out.union(one)
+    return out
+
+
 def admitted(rows: DataFrame, majority: float = 0.80, missing: float = 0.75) -> DataFrame:
     """batch, feature of derived columns worth keeping: over one value, none too common, not mostly NaN."""
     counts = rows.groupBy("batch", "feature", "value").agg(F.count("*").alias("n"))
@@ -54,8 +66,11 @@ def admitted(rows: DataFrame, majority: float = 0.80, missing: float = 0.75) ->
 
 
 def enrich_with_transforms(df: DataFrame, columns: Sequence[str], transforms: dict[str, str]) -> DataFrame:
-    """batch, idx, feature, value of the admitted transforms."""
+    """batch, idx, feature, value of the admitted transforms; a verbose set has those by place, too."""
     rows = transform_rows(df, columns, transforms)
+    if "_tr_cumulative_sum" in transforms:
+        for c in columns:
+            rows = rows.union(place_rows(df, c))
     return rows.join(admitted(rows), ["batch", "feature"], "left_semi").select("batch", "idx", "feature", "value")
 
 

@@ -88,6 +88,9 @@ def test_transform_rows_and_admission(spark):
     rows = enrich.transform_rows(df, ["f"], transforms.PRESETS["minimal"])
     assert [r.value for r in rows.filter(F.col("feature") == "f_tr_sqrt").orderBy("idx").collect()] == ["1.0", "2.0", "3.0", "4.0"]
     assert enrich.admitted(rows).count() == 4
+    placed = {(r.feature, r.idx): r.value for r in enrich.place_rows(df, "f").collect()}
+    assert [placed["f_tr_reverse", i] for i in range(4)] == ["16.0", "9.0", "4.0", "1.0"] and placed["f_tr_cumulative_prod", 2] == "36.0"
+    assert placed["f_tr_sort_squared", 3] == "256.0" and len(transforms.PRESETS["verbose"]) + len(transforms.BY_PLACE) == 232
 
 
 def test_crosses(spark):
