@@ -9,8 +9,9 @@
    retain, by a table of counts of fixed size; the order affects cost, never the result.
 3. Each list holds its members against a few of them; the estimate from the sketch of the union drops
    unlikely pairs, the exact Jaccard of full sets decides.  Components of those links come next.
-4. In lists that still span several components, every pair across components is decided: by whole sets,
-   or for very long ones by larger sketches of the union and then exactly.  So no link between different
+4. In lists that still span several components, members that share enough retained values with one of
+   another component are picked, and every pair of those across components is decided: by whole sets, or
+   for very long ones by larger sketches of the union and then exactly.  So no link between different
    components is lost, and members of one component are never paired with each other.
 
 Nothing but the table of counts (``BUCKETS`` numbers) is sent to all executors.
@@ -22,7 +23,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.components import components
@@ -34,8 +35,9 @@ BUCKETS = 1 << 18
 #: Members of an inverted list that are compared in one task; longer lists are cut into such blocks.
 BLOCK = 4096
 #: Members of a list that all its members are held against first; how far below the threshold the
-#: estimate for such a pair may lie.  Both only decide what is left for the exact step across components.
-LEADERS, NEAR = 4, 0.06
+#: estimate for such a pair may lie, and how many of those pairs, by lists shared, each document tries.  All
+#: three only decide what is left for the exact step across components, which takes every pair that is.
+LEADERS, NEAR, TRIED = 4, 0.06, 2
 #: Sets up to this size are compared whole across components.
 WHOLE = 512
 
@@ -98,22 +100,85 @@ def _firsts(table: np.ndarray, k: int, need: int, percent: int):
     return run
 
 
-def _across(whole: int, percent: int, least: int):
-    """For lists sorted by (v, block): links between members of different components.
+def _groups(batches):
+    """Rows sorted by (v, block), one table for each."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        v, b = t.column("v").to_numpy(), np.array(t.column("block").to_pylist(), object)
+        edges = [0, *(np.flatnonzero((v[1:] != v[:-1]) | (b[1:] != b[:-1])) + 1).tolist()]
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            yield t.slice(x, y - x)
+        held = t.slice(edges[-1])
+    if held is not None and held.num_rows:
+        yield held
 
-    ``values`` are whole sets up to ``whole`` shingles, else their smallest ``whole``.  Counts of common
-    values come for all members at once from an inverted index of the list.  Pairs of whole sets are
-    decided here (sure), of which only those that join two components go on; others go to the exact test.
-    """
 
-    def solve(t):
+class _List:
+    """The members of an inverted list, with an index of their values."""
+
+    def __init__(self, t: pa.Table, percent: int):
         get = lambda c: t.column(c).to_numpy()
-        node, n, comp, side = get("node"), get("n"), get("comp"), get("side")
+        self.node, self.n, self.side, self.percent = get("node"), get("n"), get("side"), percent
         block = t.column("block")[0].as_py().split(",")
+        self.cut = block[0] != block[1]
         lists = t.column("values").combine_chunks()
-        off, flat = np.asarray(lists.offsets), lists.values.to_numpy().view(np.uint64)
-        m, names, at = len(node), *np.unique(comp, return_inverse=True)
-        above = list(range(len(names)))
+        self.off, self.flat = np.asarray(lists.offsets), lists.values.to_numpy().view(np.uint64)
+        _, self.at = np.unique(get("comp"), return_inverse=True)
+        self.main = np.bincount(self.at).argmax()
+        order = np.argsort(self.flat, kind="stable")
+        self.key, self.owner = self.flat[order], np.repeat(np.arange(len(self.node)), np.diff(self.off))[order]
+
+    def outside(self) -> np.ndarray:
+        """Members beside the component that most are in."""
+        return np.flatnonzero(self.at != self.main)
+
+    def values(self, i: int) -> np.ndarray:
+        return self.flat[self.off[i] : self.off[i + 1]]
+
+    def common(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many values each member shares with i, and which members i is to be held against."""
+        m = len(self.node)
+        lo, hi = np.searchsorted(self.key, self.values(i), "left"), np.searchsorted(self.key, self.values(i), "right")
+        span = hi - lo
+        pos = np.repeat(lo - np.cumsum(span) + span, span) + np.arange(span.sum())
+        may = (self.at != self.at[i]) & ((self.at == self.main) | (np.arange(m) > i)) & (100 * np.minimum(self.n, self.n[i]) >= self.percent * np.maximum(self.n, self.n[i]))
+        if self.cut:
+            may &= self.side != self.side[i]
+        return np.bincount(self.owner[pos], minlength=m), may
+
+
+def _near_some(need: int, percent: int):
+    """For lists with sketches: their members that share enough retained values with one of another component."""
+
+    def run(batches):
+        for t in _groups(batches):
+            one = _List(t, percent)
+            flag = np.zeros(len(one.node), bool)
+            asked = np.minimum(need, -(-percent * one.n // 100))
+            for i in one.outside():
+                both, may = one.common(i)
+                near = may & (both >= np.maximum(asked, asked[i]))
+                flag |= near
+                flag[i] |= near.any()
+            if flag.any():
+                yield t.filter(pa.array(flag)).select(["v", "block", "node"]).combine_chunks().to_batches()[0]
+
+    return run
+
+
+def _across(whole: int, percent: int, least: int):
+    """For lists with sets: links between members of different components.
+
+    ``values`` are whole sets up to ``whole`` shingles, else their smallest ``whole``.  Pairs of whole sets
+    are decided here (sure), of which only those that join two components go on; others go to the exact test.
+    """
+
+    def solve(one: _List):
+        above = list(range(int(one.at.max()) + 1))
 
         def root(x):
             while above[x] != x:
@@ -121,51 +186,26 @@ def _across(whole: int, percent: int, least: int):
                 x = above[x]
             return x
 
-        main = np.bincount(at).argmax()
-        owner = np.repeat(np.arange(m), np.diff(off))
-        order = np.argsort(flat, kind="stable")
-        key, owner = flat[order], owner[order]
-        short = n <= whole
-        for i in np.flatnonzero(at != main):
-            own = flat[off[i] : off[i + 1]]
-            lo, hi = np.searchsorted(key, own, "left"), np.searchsorted(key, own, "right")
-            span = hi - lo
-            pos = np.repeat(lo - np.cumsum(span) + span, span) + np.arange(span.sum())
-            both = np.bincount(owner[pos], minlength=m)
-            may = (at != at[i]) & ((at == main) | (np.arange(m) > i)) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            if block[0] != block[1]:
-                may &= side != side[i]
+        n, at, short = one.n, one.at, one.n <= whole
+        for i in one.outside():
+            both, may = one.common(i)
             sure = may & short & short[i] & (100 * both >= percent * (n + n[i] - both))
             for j in np.flatnonzero(sure):
                 if (x := root(at[i])) != (y := root(at[j])):
                     above[x] = y
-                    yield int(node[i]), int(node[j]), True
+                    yield int(one.node[i]), int(one.node[j]), True
             for j in np.flatnonzero(may & ~(short & short[i]) & (both >= least)):
                 if root(at[i]) != root(at[j]):
-                    other = flat[off[j] : off[j + 1]]
-                    union = np.union1d(own, other)[:whole]
-                    if len(np.intersect1d(np.intersect1d(own, other, True), union, True)) * whole >= least * len(union):
-                        yield int(node[i]), int(node[j]), False
+                    a, b = one.values(i), one.values(j)
+                    union = np.union1d(a, b)[:whole]
+                    if len(np.intersect1d(np.intersect1d(a, b, True), union, True)) * whole >= least * len(union):
+                        yield int(one.node[i]), int(one.node[j]), False
 
     def run(batches):
-        held = None
-
-        def out(t):
-            found = list(solve(t))
-            return pa.RecordBatch.from_arrays([pa.array([min(p[:2]) for p in found], pa.int64()), pa.array([max(p[:2]) for p in found], pa.int64()), pa.array([p[2] for p in found], pa.bool_())], ["a", "b", "sure"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t])
-            v, b = t.column("v").to_numpy(), np.array(t.column("block").to_pylist(), object)
-            edges = [0, *(np.flatnonzero((v[1:] != v[:-1]) | (b[1:] != b[:-1])) + 1).tolist()]
-            for x, y in zip(edges[:-1], edges[1:], strict=True):
-                yield out(t.slice(x, y - x))
-            held = t.slice(edges[-1])
-        if held is not None and held.num_rows:
-            yield out(held)
+        for t in _groups(batches):
+            found = list(solve(_List(t, percent)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([min(p[:2]) for p in found], pa.int64()), pa.array([max(p[:2]) for p in found], pa.int64()), pa.array([p[2] for p in found], pa.bool_())], ["a", "b", "sure"])
 
     return run
 
@@ -223,7 +263,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lead = [F.min("node").alias("l0"), *(F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"l{i}") for i in range(1, LEADERS))]
     heads = lists.groupBy("v").agg(F.count("*").alias("members"), *lead).filter("members > 1")
     stars = lists.join(heads, "v").select("node", F.explode(F.array_distinct(F.array(*(f"l{i}" for i in range(LEADERS))))).alias("l"))
-    pairs = stars.filter("node <> l").select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct()
+    shares = Window.partitionBy("node").orderBy(F.desc("count"), "l")
+    pairs = stars.filter("node <> l").groupBy("node", "l").count().withColumn("rank", F.row_number().over(shares)).filter(F.col("rank") <= TRIED)
+    pairs = written(pairs.select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct())
     A, B = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("values").alias(f"s{x}")) for x in "ab")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     near = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union)) >= (t - NEAR) * F.size(union)
@@ -235,9 +277,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = placed.groupBy("v").agg(F.count("*").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("members > 1 AND low <> high").select("v", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     rest = placed.join(open_, "v").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = written(rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("v", "node", "comp", "side", F.concat_ws(",", F.least("side", "other"), F.greatest("side", "other")).alias("block")))
+    columns = ["v", "block", "node", "n", "comp", "side", "values"]
+    sorted_ = lambda t: t.select(columns).repartition("v", "block").sortWithinPartitions("v", "block")
+    flagged = written(map_arrow(sorted_(rest.join(nodes.select("node", "n", "values"), "node")), _near_some(need, percent), "v long, block string, node long"))
+    rest = written(rest.join(flagged, ["v", "block", "node"], "left_semi"))
     full = _full(docs, written(rest.select("node").distinct().join(nodes.select("node", "id"), "node")), width, WHOLE)
-    rest = rest.join(full, "node").repartition("v", "block").sortWithinPartitions("v", "block")
-    more = written(map_arrow(rest.select("v", "block", "node", "n", "comp", "side", "values"), _across(WHOLE, percent, tail(WHOLE, t)), "a long, b long, sure boolean").distinct())
+    more = written(map_arrow(sorted_(rest.join(full, "node")), _across(WHOLE, percent, tail(WHOLE, t)), "a long, b long, sure boolean").distinct())
     second = more.filter("sure").select("a", "b").union(_exact(more.filter("NOT sure").select("a", "b"), docs, nodes, width, percent))
     roots = components(first.union(second))
 
