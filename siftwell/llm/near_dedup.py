@@ -9,10 +9,11 @@
    retain, by a table of counts of fixed size; the order affects cost, never the result.
 3. Each list holds its members against a few of them; the estimate from the sketch of the union drops
    unlikely pairs, the exact Jaccard of full sets decides.  Components of those links come next.
-4. In lists that still span several components, members that share enough retained values with one of
-   another component are picked, and every pair of those across components is decided: by whole sets, or
-   for very long ones by larger sketches of the union and then exactly.  So no link between different
-   components is lost, and members of one component are never paired with each other.
+4. Lists that still span several components name pairs across them that share ``need`` retained values, as
+   many as join the components loosely; every link lies within a loose group so made.  In such a group all
+   pairs across components are decided: by whole sets, or for very long ones by larger sketches of the union
+   and then exactly.  So no link between different components is lost, and members of one component are
+   never paired with each other.
 
 Nothing but the table of counts (``BUCKETS`` numbers) is sent to all executors.
 """
@@ -151,25 +152,48 @@ class _List:
         return np.bincount(self.owner[pos], minlength=m), may
 
 
-def _near_some(need: int, percent: int):
-    """For lists with sketches: their members that share enough retained values with one of another component."""
+def _loose(need: int, percent: int):
+    """For lists with sketches: pairs that share enough retained values, as many as join their components."""
 
     def run(batches):
         for t in _groups(batches):
             one = _List(t, percent)
-            flag = np.zeros(len(one.node), bool)
             asked = np.minimum(need, -(-percent * one.n // 100))
+            left = int(one.at.max()) + 1
+            above = list(range(left))
+
+            def root(x, above=above):
+                while above[x] != x:
+                    above[x] = above[above[x]]
+                    x = above[x]
+                return x
+
+            found = []
             for i in one.outside():
+                if left == 1:
+                    break
                 both, may = one.common(i)
-                near = may & (both >= np.maximum(asked, asked[i]))
-                flag |= near
-                flag[i] |= near.any()
-            if flag.any():
-                yield t.filter(pa.array(flag)).select(["v", "block", "node"]).combine_chunks().to_batches()[0]
+                near = np.flatnonzero(may & (both >= np.maximum(asked, asked[i])))
+                _, firsts = np.unique(one.at[near], return_index=True)
+                for j in near[firsts]:
+                    if (x := root(one.at[i])) != (y := root(one.at[j])):
+                        above[x] = y
+                        left -= 1
+                        found.append((int(one.node[i]), int(one.node[j])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
     return run
 
 
+def _spread(members: DataFrame) -> DataFrame:
+    """Of v, node, comp those v that span components, cut to pairs of blocks: v, node, comp, side, block."""
+    open_ = members.groupBy("v").agg(F.count("*").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("v", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    rest = members.join(open_, "v").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return written(rest.select("v", "node", "comp", "side", F.concat_ws(",", F.least("side", "other"), F.greatest("side", "other")).alias("block")))
+
+
 def _across(whole: int, percent: int, least: int):
     """For lists with sets: links between members of different components.
 
@@ -274,13 +298,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = written(components(first))
 
     placed = written(lists.join(roots, "node", "left").select("v", "node", F.coalesce("root", "node").alias("comp")))
-    open_ = placed.groupBy("v").agg(F.count("*").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("members > 1 AND low <> high").select("v", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    rest = placed.join(open_, "v").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rest = written(rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("v", "node", "comp", "side", F.concat_ws(",", F.least("side", "other"), F.greatest("side", "other")).alias("block")))
     columns = ["v", "block", "node", "n", "comp", "side", "values"]
     sorted_ = lambda t: t.select(columns).repartition("v", "block").sortWithinPartitions("v", "block")
-    flagged = written(map_arrow(sorted_(rest.join(nodes.select("node", "n", "values"), "node")), _near_some(need, percent), "v long, block string, node long"))
-    rest = written(rest.join(flagged, ["v", "block", "node"], "left_semi"))
+    near = written(map_arrow(sorted_(_spread(placed).join(nodes.select("node", "n", "values"), "node")), _loose(need, percent), "a long, b long"))
+    loose = written(components(first.union(near)))
+    loose = loose.union(loose.select(F.col("root").alias("node"), "root").distinct()).select("node", F.col("root").alias("v"))
+    rest = _spread(loose.join(roots, "node", "left").select("v", "node", F.coalesce("root", "node").alias("comp")))
     full = _full(docs, written(rest.select("node").distinct().join(nodes.select("node", "id"), "node")), width, WHOLE)
     more = written(map_arrow(sorted_(rest.join(full, "node")), _across(WHOLE, percent, tail(WHOLE, t)), "a long, b long, sure boolean").distinct())
     second = more.filter("sure").select("a", "b").union(_exact(more.filter("NOT sure").select("a", "b"), docs, nodes, width, percent))

@@ -90,8 +90,9 @@ def test_near_duplicates_null_and_repeated_ids(spark):
 
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert all(got[i] == 0 for i in range(1, 41)) and all(got[100 + i] == 100 for i in range(1, 30))
+    for small in (0, 1000):
+        got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()}
+        assert all(got[i] == 0 for i in range(1, 41)) and all(got[100 + i] == 100 for i in range(1, 30)) and len(got) == 69
 
 
 def test_remove_repeats(docs, rows, empty):
