@@ -3,7 +3,7 @@
 A tape holds a text and, for each of its characters, the span of the source it stands for.  Transducers
 rewrite tapes: homoglyphs and other digits become ASCII, invisible characters go, bracketed or spelled
 "at" and "dot" become their signs, spelled digits become digits.  The detectors run on the source (base
-spans) and on the last tape, whose finds map back to source spans.  A find inside a base span adds nothing.
+spans) and on the tapes before and after spelled digits, whose finds map back to source spans.  A find inside a base span adds nothing.
 """
 
 from __future__ import annotations
@@ -44,23 +44,31 @@ _WORD = "|".join(DIGIT_WORDS)
 _BRACKET = re.compile(r"\s*[(\[{<]\s*(at|dot|@|\.)\s*[)\]}>]\s*", re.I)
 _DOT = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I)
 _AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])\s+at\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:{DOMAINS})\b)", re.I)
+_ANY_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])\s+at\s+(?=([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+))", re.I)
 _SPELLED = re.compile(rf"(?:\bplus\s+|\+\s*)?(?:\b(?:{_WORD})\b|[0-9]+)(?:(?:[\s,-]+|\.)(?:\b(?:{_WORD})\b|[0-9]+))+", re.I)
 _PART = re.compile(rf"plus|{_WORD}|[\s,-]+", re.I)
 _BRACKETED = re.compile(r"[(\[{<]\s*(?:at|dot|@|\.)\s*[)\]}>]")
 _NAMED = re.compile(rf"\.(?:{DOMAINS})\b")
-_COUNTED = re.compile(rf"\b(?:{_WORD})[\s,.-]+(?:{_WORD})[\s,.-]+(?:{_WORD})\b")
+_WORD_FIRST = re.compile(rf"(?:{_WORD})(?:[\s,-]+|\.)(?:[0-9]|(?:{_WORD})\b)")
+_DIGIT_FIRST = re.compile(rf"[0-9](?:[\s,-]+|\.)(?:{_WORD})\b")
 
 
-def _hint(text: str) -> bool:
-    """Whether a transducer for words may find something; cheap tests first."""
+def _low(text: str) -> str:
+    """In lower case, with the letters that re.I takes for i and s as these."""
     low = text.lower()
+    return low if low.isascii() else low.replace("i̇", "i").replace("ı", "i").replace("ſ", "s")
+
+
+def _hint(text: str) -> bool:
+    """Whether a transducer for words may find something (true whenever one does); cheap tests first."""
+    low = _low(text)
     if "dot" in low and re.search(r"\sdot\s", low):
         return True
     if any(c in low for c in "([{<") and _BRACKETED.search(low):
         return True
     if _NAMED.search(low) and re.search(r"\sat\s", low):
         return True
-    return sum(w in low for w in DIGIT_WORDS) > 0 and bool(_COUNTED.search(low))
+    return any(w in low for w in DIGIT_WORDS) and bool(_WORD_FIRST.search(low) or _DIGIT_FIRST.search(low))
 
 
 class Tape:
@@ -83,28 +91,44 @@ class Tape:
 
 
 def _spelled(text: str) -> list[tuple[int, int, str]]:
+    """Runs with a digit word as digits; whether they are a number of some kind is for the detectors to say."""
     edits = []
     for run in _SPELLED.finditer(text):
-        parts = list(_PART.finditer(text, run.start(), run.end()))
-        if sum(p[0].lower() in DIGIT_WORDS for p in parts) >= 3:
-            for p in parts:
-                word = p[0].lower()
+        parts = [(p, _low(p[0])) for p in _PART.finditer(text, run.start(), run.end())]
+        if any(word in DIGIT_WORDS for _, word in parts):
+            for p, word in parts:
                 edits.append((p.start(), p.end(), "+" if word == "plus" else str(DIGIT_WORDS.index(word)) if word in DIGIT_WORDS else ""))
     return edits
 
 
-def revealed(text: str) -> Tape | None:
-    """The tape of a text after all transducers; None if nothing in it calls for them."""
+def _ats(tape: Tape) -> list[tuple[int, int, str]]:
+    """A spelled "at" before a known ending, or before any other if a dot is in disguise, too ("at the dot product" is prose)."""
+    edits = []
+    for m in _ANY_AT.finditer(tape.text):
+        a, b = m.span(1)
+        wide = any(tape.text[i] == "." and tape.end[i] - tape.start[i] > 1 for i in range(a, b))
+        if _AT.match(tape.text, m.start()) or wide and m[1].split(".")[0].lower() not in ("a", "an", "the"):
+            edits.append((*m.span(), "@"))
+    return edits
+
+
+def _signed(text: str) -> Tape | None:
+    """The tape of a text after all transducers but that of digits; None if nothing in it calls for them."""
     odd = not text.isascii() and _ODD.search(text)
+    if not odd and not _hint(text):
+        return None
     tape = Tape(text)
     if odd:
         tape = Tape(text.translate(_TABLE)).rewrite([(m.start(), m.end(), "") for m in _UNSEEN.finditer(text)])
-    if not odd and not _hint(text):
-        return None
     tape = tape.rewrite([(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in _BRACKET.finditer(tape.text)])
     tape = tape.rewrite([(m.start(), m.end(), ".") for m in _DOT.finditer(tape.text)])
-    tape = tape.rewrite([(m.start(), m.end(), "@") for m in _AT.finditer(tape.text)])
-    return tape.rewrite(_spelled(tape.text))
+    return tape.rewrite(_ats(tape))
+
+
+def revealed(text: str) -> Tape | None:
+    """The tape of a text after all transducers; None if nothing in it calls for them."""
+    tape = _signed(text)
+    return tape and tape.rewrite(_spelled(tape.text))
 
 
 def luhn(digits: str) -> bool:
@@ -136,14 +160,18 @@ def detect(text: str) -> list[tuple[int, int, int]]:
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, spans that only the transducers reveal)."""
     base = detect(text)
-    tape = revealed(text)
-    added = []
-    if tape is not None:
-        for a, kind, b in detect(tape.text):
-            a, b = tape.start[a], tape.end[b - 1]
-            if not any(x <= a and b <= y for x, _, y in base):
-                added.append((a, kind, b))
-    return base, added
+    tape = _signed(text)
+    if tape is None:
+        return base, []
+    added, seen = [], text
+    for one in (tape, tape.rewrite(_spelled(tape.text))):  # a digit word beside a number may spoil it
+        if one.text != seen:
+            for a, kind, b in detect(one.text):
+                a, b = one.start[a], one.end[b - 1]
+                if not any(x <= a and b <= y for x, _, y in base + added):
+                    added = [(x, k, y) for x, k, y in added if k != kind or x < a or y > b] + [(a, kind, b)]
+        seen = one.text
+    return base, sorted(added)
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -203,6 +203,25 @@ def test_personal_data(spark, empty):
     assert personal_data(empty).count() == 0
 
 
+def test_personal_data_half_spelled():
+    cases = {
+        "+1 five 5 five 0 one 2 three 4 five 6": "phone:0:37",
+        "no\xa0space +1 five 5 five 0 one 2 three 4 five 6": "phone:9:46",
+        "4111 1111 1111 11 one one": "card:0:25",
+        "10 dot zero dot 0 dot 7": "ip:0:23",
+        "10.zero.0.7": "ip:0:11",
+        "10.0.0.ſeven": "ip:0:12",
+        "joe at mail dot ca": "email:0:18",
+        "joe at mail [dot] ca": "email:0:20",
+        "JOE AT MAIL DOT CA": "email:0:18",
+        "look at mail.ca, at the dot product, at one of 5 or 5 one": "",
+        "４111 1111 1111 1111 one": "card:0:19",
+    }
+    for t, want in cases.items():
+        base, added = find(t)
+        assert not base and spelled_out(added) == want, t
+
+
 def test_html(spark):
     page = '<html><head><title>T &amp</title><script>var a="</p>";</script></head><body><nav><a href="/">Home</a></nav><div class="ad">Buy &amp; win</div><article><h1>T</h1><p>One &amp; two&nbsp; three<br>four<p>Five.<!-- <p>no --></p><aside>see also this</aside></article><div id="comments"><p>nice text, thanks</p></div><footer>&copy; me</footer>'
     assert main_text(page) == "T\nOne & two three four\nFive."
