@@ -16,7 +16,8 @@ depends on the window's words alone.
 1. Picks (about one for four words) are grouped by name: names in one document only are no repeats.
 2. Documents with shared names list the hash of each window with such a pick; the least doc_id of each
    window decides.  3. The words covered by a window that a smaller doc_id also has are removed.
-Copies of a whole text are put aside first, so large groups of them cost one row each.
+Copies of a whole text are put aside first: besides one row each for its key, a large group of them costs
+what one text does, and its names once more for each task that reads some of it.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from siftwell.llm.shared import discard, grams, map_arrow, mix, pick, slices, sp
 
 _SIDE = 4
 _NONE = np.uint64(2**64 - 1)
+#: Texts whose names a task remembers to have given.
+MEMORY = 1_000_000
 
 
 def surviving_rounds(h: np.ndarray, fresh: np.ndarray, rounds: int = 3) -> np.ndarray:
@@ -90,9 +93,13 @@ def _keys(batches):
 
 
 def _named(window: int):
-    """name, node: the names that the windows of a text pick; a text is known by half its key here."""
+    """name, node: the names that the windows of a text pick; a text is known by half its key here.
+
+    A task gives the names of a text for the first of its copies only (as far as it remembers).
+    """
 
     def run(batches):
+        seen: set[int] = set()
         for part in slices(batches, "text"):
             *_, first, h = _parse(part)
             starts, least = picks(h, first, window)
@@ -100,6 +107,14 @@ def _named(window: int):
             new = np.ones(len(starts), bool)
             new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
             node = _sequence_keys(h, first)[:, 0].copy().view(np.int64)
+            own = np.zeros(len(node), bool)
+            for i in np.flatnonzero(np.diff(first) >= window).tolist():
+                if (x := int(node[i])) not in seen:
+                    if len(seen) >= MEMORY:
+                        seen.clear()
+                    seen.add(x)
+                    own[i] = True
+            new &= own[doc]
             yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64)), pa.array(node[doc[new]])], ["name", "node"])
 
     return run
@@ -153,6 +168,13 @@ def _cut(window: int):
     return run
 
 
+def _held(known: DataFrame, window: int) -> DataFrame:
+    """node, names: for each text, once however many copies it has, the names that another text has, too."""
+    named = map_arrow(known, _named(window), "name long, node long")  # made twice rather than stored
+    shared = named.groupBy("name").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("name")
+    return named.join(shared, "name").groupBy("node").agg(F.collect_set("name").alias("names"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
     """Removes each word covered by ``window`` consecutive words that also start in a smaller doc_id.
 
@@ -171,9 +193,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = keyed.groupBy("node", "more").agg(F.min("id").alias("least"))
     status = written(keyed.join(least, ["node", "more"]).groupBy("id").agg(F.min(F.col("id") > F.col("least")).alias("copy")))
 
-    named = map_arrow(known, _named(window), "name long, node long")  # made twice rather than stored
-    shared = named.groupBy("name").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("name")
-    held = written(named.join(shared, "name").groupBy("node").agg(F.collect_list("name").alias("names")))
+    held = written(_held(known, window))
     held = held.join(keyed.groupBy("node", "more").agg(F.min("id").alias("id")).select("node", "id"), "node").select("id", "names")
 
     single = docs.join(status.filter("NOT copy").select("id"), "id", "left_semi")

@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from siftwell.llm.mixing import mix_sources, sainte_lague, targets
 from siftwell.llm.near_dedup import near_duplicates
 from siftwell.llm.packing import pack, pack_tails
 from siftwell.llm.pii import find, personal_data, redact, spelled_out
-from siftwell.llm.substring_dedup import remove_repeats
+from siftwell.llm.substring_dedup import _held, _named, remove_repeats
 from siftwell.llm.topk_search import top_k
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -112,6 +113,20 @@ def test_remove_repeats(docs, rows, empty):
     assert remove_repeats(empty).count() == 0
 
 
+def test_names_of_a_hot_text_do_not_grow_with_its_copies(spark):
+    rng = random.Random(12)
+    hot = text(rng, 60)
+    rows = [(i, hot) for i in range(300)] + [(300, hot + " more"), (301, "less " + hot)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    lists = [r.names for r in _held(df, 13).collect()]
+    assert len(lists) == 3 and all(len(x) == len(set(x)) <= 60 for x in lists)
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([hot, hot])], ["id", "text"])
+    given = [x.num_rows for x in _named(13)([batch, batch])]
+    assert given[0] == len(set(lists[0])) and sum(given[1:]) == 0
+    got = {r.doc_id: r.n_removed for r in remove_repeats(df.withColumnRenamed("id", "doc_id")).collect()}
+    assert [got[i] for i in (0, 1, 299, 300, 301)] == [0, 60, 60, 60, 60]
+
+
 def test_pack_round_trip(docs, rows, empty):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
