@@ -182,7 +182,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rank_tail_dropped": lambda s, d: events(s, d, 3000).groupBy("batch").agg(F.count("*").alias("rows")),
     "rank_max_value_coverage": lambda s, d: ranked(part(s, d), TRIANGLE, "max-value-coverage"),
     "rank_pearson_codes": lambda s, d: ranked(part(s, d), [("p_brand", "p_size"), ("p_type", "p_size"), ("p_name", "p_brand")], "correlation-Pearson"),
-    "rank_ami": lambda s, d: ranked(orders(s, d, step=5), TARGET, "AMI"),
+    "rank_ami": lambda s, d: ranked(orders(s, d), TARGET, "AMI"),
     "rank_stratified": lambda s, d: ranked(orders(s, d), TARGET, "MI-numba-randomized", 0.3),
     "rank_constant": lambda s, d: ranked(part(s, d), TRIANGLE, "Constant"),
     "cross_order2": lambda s, d: _crossed(s, d, 2),

@@ -1,11 +1,15 @@
 """Golden values and needles for the screening operators."""
 
+import datetime
 import json
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from siftwell import catalogue
 from siftwell.functions import transforms
 from siftwell.operators import enrich, pairs, profile, row_quality, sketches, summary, synth
 from siftwell.operators.heuristics import scores
@@ -49,6 +53,28 @@ def test_adjusted_information_is_one_for_equal_columns(vectors):
     assert found(scores(vectors, [("a", "a")], "AMI"))["a", "a"] == pytest.approx(1.0, abs=1e-9)
 
 
+def test_adjusted_information_of_all_orders_by_brute_force(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i, rng.choice("ABC"), rng.choice("FOP"), datetime.date(1992 + rng.randrange(3), rng.randrange(1, 13), 1), rng.randrange(200)) for i in range(73)]
+    rows = [(i, p, "F" if p == "A" else s, d, c) for i, p, s, d, c in rows]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string, o_orderstatus string, o_orderdate date, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+
+    def brute(y, x):
+        n, xs, ys = len(x), Counter(x), Counter(y)
+        term = lambda k, a, b: k / n * math.log(n * k / (a * b))
+        mi = sum(term(k, xs[u], ys[v]) for (u, v), k in Counter(zip(x, y, strict=True)).items())
+        e = sum(term(k, a, b) * math.comb(b, k) * math.comb(n - b, a - k) / math.comb(n, a) for a in xs.values() for b in ys.values() for k in range(max(1, a + b - n), min(a, b) + 1))
+        h = [-sum(c / n * math.log(c / n) for c in z.values()) for z in (xs, ys)]
+        return (mi - e) / (sum(h) / 2 - e)
+
+    status = [r[2] for r in rows]
+    want = {"o_orderpriority": [r[1] for r in rows], "o_year": [r[3].year for r in rows], "o_month": [r[3].month for r in rows], "cust50": [r[4] % 50 for r in rows]}
+    got = found(catalogue.QUERIES["rank_ami"](spark, str(tmp_path)))
+    assert set(got) == {(f, "o_orderstatus") for f in want}
+    for f, y in want.items():
+        assert got[f, "o_orderstatus"] == pytest.approx(brute(y, status), abs=2e-6), f
+
+
 def test_unknown_heuristic(vectors):
     with pytest.raises(ValueError):
         scores(vectors, [("a", "a")], "none")
