@@ -58,7 +58,7 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(width: int, keep: int | None, has=None):
-    """Rows of id, n, node and more (the key) and the shingles: the ``keep`` smallest, or all.  has: ids to take."""
+    """Rows of id, n, node and more (the key), the shingles (the ``keep`` smallest, or all) and further columns.  has: ids to take."""
 
     def run(batches):
         for part in slices(batches, "text"):
@@ -74,7 +74,7 @@ def _sets(width: int, keep: int | None, has=None):
                 values.append((s if keep is None else s[:keep]).view(np.int64))
             ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array([k[0] for k in key], pa.int64()), pa.array([k[1] for k in key], pa.int64()), lists], ["id", "n", "node", "more", "values"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array([k[0] for k in key], pa.int64()), pa.array([k[1] for k in key], pa.int64()), lists, *part.columns[2:]], ["id", "n", "node", "more", "values", *part.schema.names[2:]])
 
     return run
 
@@ -269,14 +269,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     no part in linking; component_id is null, kept is true.  An empty table gives an empty result.
     Columns other than the two named are ignored, whatever their names.
     """
+    return grouped(docs, id_col, text_col, percent, width, k).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, k: int = 64) -> DataFrame:
+    """As near_duplicates, with text_key long (xxhash64 of the text) and group long (of the rows linked; null for no shingles or no id)."""
     if not 0 < percent <= 100:
         raise ValueError("percent lies in 1..100")
     docs = pick(docs, id=f"{id_col}:long", text=f"{text_col}:string")
     t, need = percent / 100, tail(k, percent / 100)
-    raw = written(map_arrow(docs, _sets(width, k), SETS))
-    sets = written(raw.select("id", "n", "node", "more"))
+    raw = written(map_arrow(docs.withColumn("text_key", F.xxhash64("text")), _sets(width, k), SETS + ", text_key long"))
+    sets = written(raw.select("id", "n", "node", "more", "text_key"))
     chosen = sets.filter("n > 0 AND id IS NOT NULL").groupBy("node", "more").agg(F.min("id").alias("id"))
-    nodes = written(raw.join(chosen, ["node", "more", "id"]).dropDuplicates(["node"]).select("node", "id", "n", "values"))
+    nodes = written(raw.drop("text_key").join(chosen, ["node", "more", "id"]).dropDuplicates(["node"]).select("node", "id", "n", "values"))
     discard(raw)
 
     table = np.zeros(BUCKETS, np.int64)
@@ -311,7 +316,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least_id = named.groupBy("root").agg(F.min("id").alias("component"))
-    named = named.join(least_id, "root").select("node", "component")
-    out = sets.select("id", "n", "node").join(named, "node", "left")
+    named = named.join(least_id, "root").select("node", "component", "root")
+    out = sets.select("id", "n", "node", "text_key").join(named, "node", "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))).cast("long")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), "text_key", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("root")).alias("group"))

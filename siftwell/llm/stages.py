@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm import toxicity
 from siftwell.llm.mixing import mix_sources
-from siftwell.llm.near_dedup import near_duplicates
+from siftwell.llm.near_dedup import grouped
 from siftwell.llm.packing import pack
 from siftwell.llm.pii import find, redact
 from siftwell.llm.shared import fresh, slices, text_buffers, words
@@ -44,13 +44,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (similarity 0.8): its smallest doc_id.
 
-    Of rows with that doc_id and equal text one stays; null doc_ids stay.
+    If several rows of the group have that doc_id, one of them stays; null doc_ids stay.
     """
-    found = near_duplicates(docs, percent=80)
-    kept = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    key, rank = fresh(docs, "__kept"), fresh(docs, "__rank")
-    kept = kept.select(F.col("doc_id").alias(key), "copies").withColumnRenamed("copies", rank)
-    one = docs.filter("doc_id IS NOT NULL").join(kept, docs.doc_id == kept[key])
+    found = grouped(docs, percent=80).filter("kept AND doc_id IS NOT NULL").groupBy("doc_id", "group", "text_key").agg(F.count("*").alias("copies"))
+    alone = F.when(F.col("group").isNull(), F.col("text_key"))
+    kept = found.groupBy("doc_id", "group", alone.alias("alone")).agg(F.min(F.struct("text_key", "copies")).alias("one"))
+    key, text, rank = (fresh(docs, x) for x in ("__kept", "__text", "__rank"))
+    kept = kept.select(F.col("doc_id").alias(key), F.col("one.text_key").alias(text), F.col("one.copies").alias(rank))
+    one = docs.filter("doc_id IS NOT NULL").join(kept, (docs.doc_id == kept[key]) & (F.xxhash64(docs.text) == kept[text]))
     single = one.filter(F.col(rank) == 1).select(docs.columns)
     many = one.filter(F.col(rank) > 1).dropDuplicates(["doc_id", "text"]).select(docs.columns)
     return single.union(many).union(docs.filter("doc_id IS NULL"))

@@ -85,11 +85,11 @@ def _sequence_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _keys(batches):
-    """id, number of words, and the key of the sequence of words."""
+    """id and hash of the text, number of words, and the key of the sequence of words."""
     for part in slices(batches, "text"):
         *_, first, h = _parse(part)
         key = _sequence_keys(h, first)
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), pa.array(key[:, 0].copy().view(np.int64)), pa.array(key[:, 1].copy().view(np.int64))], ["id", "n", "node", "more"])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(first)), pa.array(key[:, 0].copy().view(np.int64)), pa.array(key[:, 1].copy().view(np.int64))], ["id", "t", "n", "node", "more"])
 
 
 def _named(window: int):
@@ -182,26 +182,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     doc_id long, n_words long, n_removed long, kept_text string (kept words joined by one space).
 
     Null, empty or blank text: no words, empty kept_text.  Texts shorter than a window keep all words.
-    Rows that repeat a doc_id do not remove each other's words.  Null doc_id: nothing is removed and
+    Rows that repeat a doc_id are judged each on its own text and do not remove each other's words.  Null doc_id: nothing is removed and
     nothing is removed on its account.  An empty table gives an empty result.  Other columns are ignored.
     """
     if window < 2 * _SIDE + 3:
         raise ValueError(f"a window has {2 * _SIDE + 3} words at least")
-    docs = pick(docs, id=f"{id_col}:long", text=f"{text_col}:string")
+    docs = pick(docs, id=f"{id_col}:long", text=f"{text_col}:string").withColumn("t", F.xxhash64("text"))
     known = docs.filter("id IS NOT NULL")
-    keyed = written(map_arrow(known, _keys, "id long, n long, node long, more long").filter(f"n >= {window}"))
-    least = keyed.groupBy("node", "more").agg(F.min("id").alias("least"))
-    status = written(keyed.join(least, ["node", "more"]).groupBy("id").agg(F.min(F.col("id") > F.col("least")).alias("copy")))
+    keyed = written(map_arrow(known, _keys, "id long, t long, n long, node long, more long").filter(f"n >= {window}"))
+    least = keyed.groupBy("node", "more").agg(F.min("id").alias("least"), F.min_by("t", "id").alias("own"))
+    copies = written(keyed.join(least, ["node", "more"]).filter("id > least").groupBy("id").agg(F.collect_set("t").alias("copies")))
 
     held = written(_held(known, window))
-    held = held.join(keyed.groupBy("node", "more").agg(F.min("id").alias("id")).select("node", "id"), "node").select("id", "names")
+    held = held.join(least.select("node", F.col("least").alias("id"), F.col("own").alias("t")), "node").select("id", "t", "names")
 
-    single = docs.join(status.filter("NOT copy").select("id"), "id", "left_semi")
-    windows = written(map_arrow(single.join(held, "id").select("id", "text", "names"), _windows(window), "w long, id long"))
+    windows = written(map_arrow(docs.join(held, ["id", "t"]).select("id", "text", "names"), _windows(window), "w long, id long"))
     first = windows.groupBy("w").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("w", "first")
-    gone = written(windows.join(first, "w").filter("id > first").groupBy("id").agg(F.collect_list("w").alias("gone")))
+    gone = written(windows.join(first, "w").filter("id > first").groupBy("id").agg(F.collect_set("w").alias("gone")))
 
     discard(windows)
 
-    plan = status.filter("copy").select("id", "copy", F.lit(None).cast("array<long>").alias("gone")).union(gone.select("id", F.lit(False), "gone"))
-    return map_arrow(docs.join(plan, "id", "left").select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "gone"), _cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    none = F.lit(None).cast("array<long>")
+    plan = copies.select("id", "copies", none.alias("gone")).union(gone.select("id", none, "gone"))
+    plan = plan.groupBy("id").agg(F.first("copies", True).alias("copies"), F.first("gone", True).alias("gone"))  # an id may have both
+    copy = F.coalesce(F.array_contains("copies", F.col("t")), F.lit(False)).alias("copy")
+    return map_arrow(docs.join(plan, "id", "left").select("id", "text", copy, "gone"), _cut(window), "doc_id long, n_words long, n_removed long, kept_text string")

@@ -127,6 +127,23 @@ def test_names_of_a_hot_text_do_not_grow_with_its_copies(spark):
     assert [got[i] for i in (0, 1, 299, 300, 301)] == [0, 60, 60, 60, 60]
 
 
+def test_rows_of_one_id_are_decided_by_their_own_texts(spark):
+    from siftwell.llm.stages import drop_near_duplicates
+
+    rng = random.Random(21)
+    a, b, c = text(rng, 60), text(rng, 60), text(rng, 60)
+    rows = [(3, a), (7, a), (7, b), (7, b + " more"), (7, b), (8, a + " less"), (9, c), (9, None), (9, ""), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [tuple(r) for r in drop_near_duplicates(spark, df, "").collect()]
+    sevens = [t for i, t in left if i == 7]
+    assert len(sevens) == 1 and sevens[0] in (b, b + " more")
+    assert sorted((i, t or "", t is None) for i, t in left if i not in (7, None)) == sorted((i, t or "", t is None) for i, t in ((3, a), (9, c), (9, None), (9, ""))) and (None, a) in left
+
+    own = text(rng, 60)
+    got = {(r.doc_id, r.kept_text): r.n_removed for r in remove_repeats(spark.createDataFrame([(3, a), (7, a), (7, own), (7, b + " " + a), (8, own)], "doc_id long, text string")).collect()}
+    assert got == {(3, a): 0, (7, ""): 60, (7, own): 0, (7, b): 60, (8, ""): 60}
+
+
 def test_pack_round_trip(docs, rows, empty):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
