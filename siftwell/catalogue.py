@@ -135,10 +135,8 @@ def _numeric_frame(spark, d) -> DataFrame:
 
 def _transforms(preset: str) -> Callable:
     def run(spark, d) -> DataFrame:
-        rows = enrich.transform_rows(_numeric_frame(spark, d), ["value"], PRESETS[preset])
-        v = F.col("value").cast("double")
-        fine = F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(None)).otherwise(v)
-        return rows.groupBy("feature").agg(F.count("*").alias("rows"), F.count(fine).alias("finite"), F.round(F.min(fine), 4).alias("low"))
+        found = enrich.transform_profile(_numeric_frame(spark, d), ["value"], PRESETS[preset])
+        return found.withColumn("low", F.round("low", 4))
 
     return run
 

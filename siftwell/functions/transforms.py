@@ -1,8 +1,8 @@
 """Numeric transforms of a column, as SQL expressions of x, and the presets that name them.
 
 IEEE semantics as an array library has them: division by zero gives an infinity or NaN, logarithms of
-negative numbers NaN, of zero minus infinity; comparisons with NaN are false.  Windows: ``{b}`` a batch,
-``{bo}`` the rows of a batch up to this one.
+negative numbers NaN, of zero minus infinity; comparisons with NaN are false.  ``OVER {b}``, ``{bo}``, ``{bl}``
+and ``{bx}`` mark what is taken of the whole batch, see ``siftwell.plans.batchwise``.
 """
 
 from __future__ import annotations
@@ -140,7 +140,7 @@ _CORE = {
     "custom1": "pow(x, 2D) + 2D * x + 1D",
     "custom2": "sin(x) + cos(x)",
     "custom3": f"exp(x) - ({log('(x + 1D)')})",
-    "empirical_cdf": "cume_dist() OVER (PARTITION BY batch ORDER BY x)",
+    "empirical_cdf": "cume_dist(x) OVER {bx}",
     "uniform_cdf": clip("x", "0D", "1D"),
     "exponential_cdf": "1D - exp(-x)",
 }

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from siftwell.operators.pairs import RELATION, PairSampler, crosses
 from siftwell.operators.profile import MISSING
+from siftwell.plans.batchwise import calls, used, with_calls
 
-_B = "(PARTITION BY batch)"
-_BO = "(PARTITION BY batch ORDER BY idx ROWS UNBOUNDED PRECEDING)"
-_BL = "(PARTITION BY batch ORDER BY idx)"
+#: Transforms that one aggregate takes at once, so that its generated code stays small enough to be compiled.
+TOGETHER = 16
 
 
 def numeric(column: str):
@@ -21,19 +21,48 @@ def numeric(column: str):
     return F.when(text == "", F.lit(0.0)).otherwise(text.cast("double"))
 
 
+def _cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), numeric(c).alias("x")) for c in columns)))
+    return df.select("batch", "idx", cells.alias("c")).select("batch", "idx", "c.*")
+
+
+def _wide(cells: DataFrame, transforms: dict[str, str], kind: str) -> DataFrame:
+    """batch, idx, column and t0, t1, ...: the transforms in their order."""
+    forms, found = calls(transforms)
+    return with_calls(cells, found).selectExpr("batch", "idx", "column", *(f"CAST({e} AS {kind}) AS `t{i}`" if kind else f"{e} AS `t{i}`" for i, e in enumerate(forms.values())))
+
+
 def transform_rows(df: DataFrame, columns: Sequence[str], transforms: dict[str, str]) -> DataFrame:
     """batch, idx, feature, value: each transform of each column, as text, one row each (no wide projection)."""
-    cells = df.select("batch", "idx", F.explode(F.array(*(F.struct(F.lit(c).alias("column"), numeric(c).alias("x")) for c in columns))).alias("c")).select("batch", "idx", "c.*")
-    b, bo, bl = (w.replace("PARTITION BY batch", "PARTITION BY batch, column") for w in (_B, _BO, _BL))
-    forms = []
-    for name, e in transforms.items():
-        e = e.replace("{bo}", bo).replace("{bl}", bl).replace("{b}", b).replace("(PARTITION BY batch ORDER BY x)", "(PARTITION BY batch, column ORDER BY x)")
-        forms.append((name, e))
-    wide = cells.selectExpr("batch", "idx", "column", *(f"CAST({e} AS STRING) AS `t{i}`" for i, (_, e) in enumerate(forms)))
-    pieces = F.explode(F.array(*(F.struct(F.concat("column", F.lit(n)).alias("feature"), F.col(f"t{i}").alias("value")) for i, (n, _) in enumerate(forms))))
+    wide = _wide(_cells(df, columns), transforms, "STRING")
+    pieces = F.explode(F.array(*(F.struct(F.concat("column", F.lit(n)).alias("feature"), F.col(f"t{i}").alias("value")) for i, n in enumerate(transforms))))
     return wide.select("batch", "idx", pieces.alias("p")).select("batch", "idx", "p.*")
 
 
+def transform_profile(df: DataFrame, columns: Sequence[str], transforms: dict[str, str]) -> DataFrame:
+    """feature, rows, finite (rows with a finite number), low (the least of them) of each transform of each column.
+
+    What ``transform_rows`` would list is aggregated where it is made, column by column: nothing grows with rows
+    times transforms but arithmetic.  Transforms that need a row's place are taken apart from the others.
+    """
+    cells, out = _cells(df, columns), None
+    _, found = calls(transforms)
+    placed = {n for (kind, *_), n in found.items() if kind != "b"}
+    forms = {n: e for n, e in transforms.items()}
+    by_place = [n for n, e in calls(forms)[0].items() if used(e) & placed]
+    rest = [n for n in forms if n not in by_place]
+    for names in [by_place, *(rest[i : i + TOGETHER] for i in range(0, len(rest), TOGETHER))]:
+        if not names:
+            continue
+        wide = _wide(cells, {n: forms[n] for n in names}, "")
+        finite = [F.when(F.abs(f"t{i}") < float("inf"), F.col(f"t{i}")) for i in range(len(names))]  # NaN is above all
+        totals = wide.groupBy("column").agg(F.count("*").alias("rows"), *(F.count(v).alias(f"n{i}") for i, v in enumerate(finite)), *(F.min(v).cast("string").cast("double").alias(f"l{i}") for i, v in enumerate(finite)))
+        pieces = F.explode(F.array(*(F.struct(F.concat("column", F.lit(n)).alias("feature"), F.col("rows"), F.col(f"n{i}").alias("finite"), F.col(f"l{i}").alias("low")) for i, n in enumerate(names))))
+        one = totals.select(pieces.alias("p")).select("p.*")
+        out = one if out is None else out.union(one)
+    return out
+
+
 def place_transforms(df: DataFrame, column: str, of: str = "x") -> DataFrame:
     """batch, idx and the transforms that look at rows by place: reverse, sort, argsort, running product.
 
