@@ -243,7 +243,7 @@ def _two_sided() -> dict[str, str]:
                 for limit in FW_LIMITS:
                     g = f"{limit / scale}D"
                     rest = f"(x - {g})"
-                    value = f"sqrt{rest}" if name == "sqrt" else log(rest)
+                    value = f"sqrt{rest}" if name == "sqrt" else f"ln{rest}"  # of a positive number, by the test before
                     out[f"_tr_{prefix}_{name}_res_{res}_gt_{limit / scale:g}"] = f"CASE WHEN x < {g} THEN x WHEN {gt('x', g)} THEN rint(({value}) * {res}D) ELSE 0D END"
     return out
 
