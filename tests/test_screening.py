@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftwell import catalogue
 from siftwell.functions import transforms
-from siftwell.operators import enrich, pairs, profile, row_quality, sketches, summary, synth
+from siftwell.operators import enrich, pairs, profile, row_quality, sketches, summary, surrogates, synth
 from siftwell.operators.heuristics import scores
 from siftwell.plans.frame import categorical, with_batches, with_index
 from siftwell.sources import readers
@@ -190,3 +190,27 @@ def test_rank_statistics(spark):
     got = {r.Feature: (r.mean_rank, r.std_rank) for r in summary.rank_statistics(runs).collect()}
     assert got["a"] == (1.5, pytest.approx(math.sqrt(0.5)))
     assert {(r.run, r.k): r.hits for r in summary.hits_at(runs, "r", (1, 2)).collect()} == {("r", 1): 100.0, ("r", 2): 100.0, ("s", 1): 0.0, ("s", 2): 100.0}
+
+
+def test_surrogates_tell_a_twin_from_noise(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "BLOCK", 16)
+    rng = random.Random(4)
+    rows = [(i, y := rng.choice("abc"), y if rng.random() < 0.9 else "a", str(rng.randrange(3))) for i in range(120)]
+    df = categorical(spark.createDataFrame(rows, "i int, y string, twin string, noise string"), ["y", "twin", "noise"], ["i"])
+    two = df.filter("y <> 'c'")
+    score = lambda c, kind: surrogates.surrogate_score(two if kind == "surrogate-SVM" else df, [c], "y", kind)
+    noise = score("noise", "surrogate-SGD")
+    for kind in ("surrogate-SVM", "surrogate-SGD-SVD", "surrogate-SGD-RP", "surrogate-SGD"):
+        assert (got := score("twin", kind)) > noise + 0.3, (kind, got, noise)
+    with pytest.raises(ValueError):
+        surrogates.surrogate_score(df, ["twin"], "y", "surrogate-none")
+
+
+def test_halves_of_each_label(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "BLOCK", 8)
+    rows = [(i, "a" if i % 3 else "b") for i in range(101)]
+    got = surrogates._halves(spark.createDataFrame(rows, "idx long, y string")).collect()
+    for y in "ab":
+        own = [i for i, x in rows if x == y]
+        assert sorted(r.idx for r in got if r.y == y and r.fold == 1) == own[: (len(own) + 1) // 2]
+    assert len(got) == 101
