@@ -165,6 +165,16 @@ def _cms(spark, d) -> DataFrame:
     return sketches.count_min_query(sketches.count_min(t, "user_id"), t, "user_id")
 
 
+def _sketched(spark, d) -> DataFrame:
+    """Whether the sketch of each key of lineitem is within 1 % of the exact count."""
+    t, out = table(spark, d, "lineitem"), None
+    for c in ("l_orderkey", "l_partkey", "l_suppkey"):
+        both = sketches.distinct_estimate(t, c).withColumnRenamed("estimate", "exact").join(sketches.distinct_sketch(t, c), "column")
+        one = both.select("column", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 0.01 * F.col("exact")).alias("near"))
+        out = one if out is None else out.union(one)
+    return out
+
+
 def _synthetic(spark, d) -> DataFrame:
     df = synth.benchmark(spark, 2000, 60, 2, seed=3)
     df = synth.labels(synth.with_noise(df, ["f1"], "missing", 0.2, rows=2000), ["f2", "f3"], 3, name="class")
@@ -218,6 +228,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "row_quality_histogram": lambda s, d: rounded(row_quality.metric_histogram(table(s, d, "documents").select("lang", F.char_length("text").cast("double").alias("size")), "lang", "size", 10), "percent"),
     "cms_query": _cms,
     "hll_estimate": lambda s, d: sketches.distinct_estimate(table(s, d, "lineitem"), "l_orderkey"),
+    "hll_sketch": _sketched,
     "subsample": lambda s, d: subsample(with_index(table(s, d, "orders").select("o_orderkey"), ["o_orderkey"]), 10),
     "feature_focus": lambda s, d: feature_focus(table(s, d, "nation"), ["n_name", "missing"], "n_regionkey"),
     "pair_enumeration": lambda s, d: s.createDataFrame(pairs.all_pairs(["a", "b", "label"], "label"), "FeatureA string, FeatureB string"),
@@ -297,6 +308,7 @@ ORACLE_SQL: dict[str, str] = {
     "row_entropy": "WITH t AS (SELECT conv_id, turn, unnest(string_split(text, '')) AS c, length(text) AS n FROM conversations), k AS (SELECT conv_id, turn, c, count(*) AS m, max(n) AS n FROM t WHERE c <> '' GROUP BY ALL), e AS (SELECT conv_id, turn, -sum(CAST(m AS DOUBLE) / n * log2(CAST(m AS DOUBLE) / n)) AS entropy FROM k GROUP BY ALL) SELECT v.conv_id, v.turn, round(coalesce(entropy, 0), 6) + 0.0 AS entropy FROM conversations AS v LEFT JOIN e USING (conv_id, turn)",
     "row_quality_histogram": "WITH s AS (SELECT lang, CAST(length(text) AS DOUBLE) AS size FROM documents), w AS (SELECT *, min(size) OVER (PARTITION BY lang) AS lo, max(size) OVER (PARTITION BY lang) AS hi FROM s), b AS (SELECT lang, CAST(CASE WHEN hi > lo THEN least(floor((size - lo) / (hi - lo) * 10), 9) ELSE 0 END AS INTEGER) AS bin, count(*) AS n FROM w GROUP BY ALL) SELECT lang, bin, round(100.0 * n / sum(n) OVER (PARTITION BY lang), 6) + 0.0 AS percent FROM b",
     "hll_estimate": "SELECT 'l_orderkey' AS column, count(DISTINCT l_orderkey) AS estimate FROM lineitem",
+    "hll_sketch": " UNION ALL ".join(f"SELECT '{c}' AS column, count(DISTINCT {c}) AS exact, true AS near FROM lineitem" for c in ("l_orderkey", "l_partkey", "l_suppkey")),
     "subsample": "SELECT o_orderkey, (k // 10) - 1 AS idx FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders) WHERE k % 10 = 0",
     "feature_focus": "SELECT n_name, n_regionkey FROM nation",
     "pair_enumeration": "SELECT * FROM (VALUES ('a', 'a'), ('a', 'b'), ('a', 'label'), ('b', 'b'), ('b', 'label'), ('label', 'label'), ('a', 'a'), ('b', 'b')) AS t(FeatureA, FeatureB)",
