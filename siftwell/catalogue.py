@@ -214,7 +214,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cardinality": lambda s, d: profile.cardinality(events(s, d), EVENT_FEATURES),
     "cardinality_approx": lambda s, d: profile.cardinality(events(s, d), EVENT_FEATURES, 0.02),
     "bounded_counts": lambda s, d: profile.bounded_counts(events(s, d), ["user_id"], 100),
-    "value_repetitions": lambda s, d: profile.value_repetitions(profile.bounded_counts(events(s, d), EVENT_FEATURES)),
+    "value_repetitions": lambda s, d: profile.value_repetitions(profile.value_counts(events(s, d), EVENT_FEATURES)),
     "rare_values": lambda s, d: profile.rare_values(part(s, d), ["p_name", "p_size"], 30),
     "feature_sparsity": lambda s, d: profile.sparsity(profile.rare_values(part(s, d), ["p_name", "p_size"], 30), profile.cardinality(part(s, d), ["p_name", "p_size"]), ["p_size"]),
     "numeric_stats": lambda s, d: rounded(profile.numeric_bounds(events(s, d, 4096), ["value"]), "minimum", "maximum", "mean"),

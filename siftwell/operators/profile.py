@@ -41,11 +41,16 @@ def bounded_counts(df: DataFrame, features: Sequence[str], bound: int = 30_000)
     cells = long_form(df, features)
     first = cells.groupBy("feature", "value").agg(F.min("idx").alias("first"))
     rank = F.row_number().over(Window.partitionBy("feature").orderBy("first"))
-    cut = first.withColumn("rank", rank).filter(F.col("rank") == bound).select("feature", F.col("first").alias("cut"))
+    cut = first.withColumn("rank", rank).filter(F.col("rank") <= bound).filter(F.col("rank") == bound).select("feature", F.col("first").alias("cut"))
     kept = cells.join(cut, "feature", "left").filter(F.col("cut").isNull() | (F.col("idx") <= F.col("cut")))
     return kept.groupBy("feature", "value").agg(F.count("*").alias("n"))
 
 
+def value_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """feature, value, n over all rows."""
+    return long_form(df, features).groupBy("feature", "value").agg(F.count("*").alias("n"))
+
+
 def value_repetitions(counts: DataFrame, steps: Sequence[int] = STEPS) -> DataFrame:
     """feature, more_than_<n>: how many values occur more often than n."""
     return counts.groupBy("feature").agg(*(F.count_if(F.col("n") > s).alias(f"more_than_{s}") for s in steps))
@@ -61,7 +66,7 @@ def repetitions_json(repetitions: DataFrame) -> str:
 
 def rare_values(df: DataFrame, features: Sequence[str], bound: int = 1) -> DataFrame:
     """feature, value, n of values that occur at most ``bound`` times."""
-    return long_form(df, features).groupBy("feature", "value").agg(F.count("*").alias("n")).filter(F.col("n") <= bound)
+    return value_counts(df, features).filter(F.col("n") <= bound)
 
 
 def sparsity(rare: DataFrame, cardinalities: DataFrame, numeric: Sequence[str] = ()) -> DataFrame:
