@@ -9,11 +9,11 @@
    retain, by a table of counts of fixed size; the order affects cost, never the result.
 3. Each list holds its members against a few of them; the estimate from the sketch of the union drops
    unlikely pairs, the exact Jaccard of full sets decides.  Components of those links come next.
-4. Lists that still span several components name pairs across them that share ``need`` retained values, as
-   many as join the components loosely; every link lies within a loose group so made.  In such a group all
-   pairs across components are decided: by whole sets, or for very long ones by larger sketches of the union
-   and then exactly.  So no link between different components is lost, and members of one component are
-   never paired with each other.
+4. A link between two components shows in a list that spans them.  The sets of the members of such lists are
+   listed again, whole, by their rarest values: pairs of different components that a list brings together
+   and that the places of its value in both sets allow are tested by their sketches and decided by their full
+   sets.  So no link between different components is lost, and members of one component, or of a family of texts
+   that only have common values in common, are not paired with each other.
 
 Nothing but the table of counts (``BUCKETS`` numbers) is sent to all executors.
 """
@@ -33,14 +33,10 @@ from siftwell.llm.shared import LOWER, discard, likely, map_arrow, mix, pick, sh
 #: Chance that a pair at the threshold fails the tests on sketches.
 MISS = 1e-10
 BUCKETS = 1 << 18
-#: Members of an inverted list that are compared in one task; longer lists are cut into such blocks.
-BLOCK = 4096
 #: Members of a list that all its members are held against first; how far below the threshold the
 #: estimate for such a pair may lie, and how many of those pairs, by lists shared, each document tries.  All
-#: three only decide what is left for the exact step across components, which takes every pair that is.
+#: three only decide what is left for the step across components, which takes every pair that is.
 LEADERS, NEAR, TRIED = 4, 0.06, 2
-#: Sets up to this size are compared whole across components.
-WHOLE = 512
 
 
 def tail(k: int, t: float) -> int:
@@ -52,13 +48,13 @@ def tail(k: int, t: float) -> int:
 
 
 def set_key(s: np.ndarray) -> tuple[int, int]:
-    """Two longs that name a set of 64-bit hashes; the first serves as the number of its class."""
+    """Two longs that name a set of 64-bit hashes."""
     n = np.uint64(len(s))
     return int((s.sum(dtype=np.uint64) + n).view(np.int64)), int((np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))) ^ n).view(np.int64))
 
 
 def _sets(width: int, keep: int | None, has=None):
-    """Rows of id, n, node and more (the key), the shingles (the ``keep`` smallest, or all) and further columns.  has: ids to take."""
+    """Rows of id, n, key and more (which name the set), the shingles (the ``keep`` smallest, or all) and further columns.  has: ids to take."""
 
     def run(batches):
         for part in slices(batches, "text"):
@@ -74,7 +70,7 @@ def _sets(width: int, keep: int | None, has=None):
                 values.append((s if keep is None else s[:keep]).view(np.int64))
             ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array([k[0] for k in key], pa.int64()), pa.array([k[1] for k in key], pa.int64()), lists, *part.columns[2:]], ["id", "n", "node", "more", "values", *part.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array([k[0] for k in key], pa.int64()), pa.array([k[1] for k in key], pa.int64()), lists, *part.columns[2:]], ["id", "n", "key", "more", "values", *part.schema.names[2:]])
 
     return run
 
@@ -101,158 +97,65 @@ def _firsts(table: np.ndarray, k: int, need: int, percent: int):
     return run
 
 
-def _groups(batches):
-    """Rows sorted by (v, block), one table for each."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([batch])
-        t = t if held is None else pa.concat_tables([held, t])
-        v, b = t.column("v").to_numpy(), np.array(t.column("block").to_pylist(), object)
-        edges = [0, *(np.flatnonzero((v[1:] != v[:-1]) | (b[1:] != b[:-1])) + 1).tolist()]
-        for x, y in zip(edges[:-1], edges[1:], strict=True):
-            yield t.slice(x, y - x)
-        held = t.slice(edges[-1])
-    if held is not None and held.num_rows:
-        yield held
-
-
-class _List:
-    """The members of an inverted list, with an index of their values."""
-
-    def __init__(self, t: pa.Table, percent: int):
-        get = lambda c: t.column(c).to_numpy()
-        self.node, self.n, self.side, self.percent = get("node"), get("n"), get("side"), percent
-        block = t.column("block")[0].as_py().split(",")
-        self.cut = block[0] != block[1]
-        lists = t.column("values").combine_chunks()
-        self.off, self.flat = np.asarray(lists.offsets), lists.values.to_numpy().view(np.uint64)
-        _, self.at = np.unique(get("comp"), return_inverse=True)
-        self.main = np.bincount(self.at).argmax()
-        order = np.argsort(self.flat, kind="stable")
-        self.key, self.owner = self.flat[order], np.repeat(np.arange(len(self.node)), np.diff(self.off))[order]
-
-    def outside(self) -> np.ndarray:
-        """Members beside the component that most are in."""
-        return np.flatnonzero(self.at != self.main)
-
-    def values(self, i: int) -> np.ndarray:
-        return self.flat[self.off[i] : self.off[i + 1]]
-
-    def common(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """How many values each member shares with i, and which members i is to be held against."""
-        m = len(self.node)
-        lo, hi = np.searchsorted(self.key, self.values(i), "left"), np.searchsorted(self.key, self.values(i), "right")
-        span = hi - lo
-        pos = np.repeat(lo - np.cumsum(span) + span, span) + np.arange(span.sum())
-        may = (self.at != self.at[i]) & ((self.at == self.main) | (np.arange(m) > i)) & (100 * np.minimum(self.n, self.n[i]) >= self.percent * np.maximum(self.n, self.n[i]))
-        if self.cut:
-            may &= self.side != self.side[i]
-        return np.bincount(self.owner[pos], minlength=m), may
-
-
-def _loose(need: int, percent: int):
-    """For lists with sketches: pairs that share enough retained values, as many as join their components."""
+SETS = "id long, n long, key long, more long, values array<long>"
 
-    def run(batches):
-        for t in _groups(batches):
-            one = _List(t, percent)
-            asked = np.minimum(need, -(-percent * one.n // 100))
-            left = int(one.at.max()) + 1
-            above = list(range(left))
-
-            def root(x, above=above):
-                while above[x] != x:
-                    above[x] = above[above[x]]
-                    x = above[x]
-                return x
-
-            found = []
-            for i in one.outside():
-                if left == 1:
-                    break
-                both, may = one.common(i)
-                near = np.flatnonzero(may & (both >= np.maximum(asked, asked[i])))
-                _, firsts = np.unique(one.at[near], return_index=True)
-                for j in near[firsts]:
-                    if (x := root(one.at[i])) != (y := root(one.at[j])):
-                        above[x] = y
-                        left -= 1
-                        found.append((int(one.node[i]), int(one.node[j])))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
-
-    return run
-
-
-def _spread(members: DataFrame) -> DataFrame:
-    """Of v, node, comp those v that span components, cut to pairs of blocks: v, node, comp, side, block."""
-    open_ = members.groupBy("v").agg(F.count("*").alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("v", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    rest = members.join(open_, "v").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return written(rest.select("v", "node", "comp", "side", F.concat_ws(",", F.least("side", "other"), F.greatest("side", "other")).alias("block")))
 
+def _named(sets: DataFrame) -> DataFrame:
+    """key, more, id, node: each class by both halves of its key, its least id, and the one long that stands for it.
 
-def _across(whole: int, percent: int, least: int):
-    """For lists with sets: links between members of different components.
-
-    ``values`` are whole sets up to ``whole`` shingles, else their smallest ``whole``.  Pairs of whole sets
-    are decided here (sure), of which only those that join two components go on; others go to the exact test.
+    That is the first half, but where classes share it (expected once in 2**64 / classes**2 tables) only the first
+    of them has it and the others a hash of both.
     """
+    chosen = sets.filter("n > 0 AND id IS NOT NULL").groupBy("key", "more").agg(F.min("id").alias("id"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("more"))
+    return chosen.withColumn("node", F.when(rank == 1, F.col("key")).otherwise(F.xxhash64("key", "more")))
 
-    def solve(one: _List):
-        above = list(range(int(one.at.max()) + 1))
-
-        def root(x):
-            while above[x] != x:
-                above[x] = above[above[x]]
-                x = above[x]
-            return x
-
-        n, at, short = one.n, one.at, one.n <= whole
-        for i in one.outside():
-            both, may = one.common(i)
-            sure = may & short & short[i] & (100 * both >= percent * (n + n[i] - both))
-            for j in np.flatnonzero(sure):
-                if (x := root(at[i])) != (y := root(at[j])):
-                    above[x] = y
-                    yield int(one.node[i]), int(one.node[j]), True
-            for j in np.flatnonzero(may & ~(short & short[i]) & (both >= least)):
-                if root(at[i]) != root(at[j]):
-                    a, b = one.values(i), one.values(j)
-                    union = np.union1d(a, b)[:whole]
-                    if len(np.intersect1d(np.intersect1d(a, b, True), union, True)) * whole >= least * len(union):
-                        yield int(one.node[i]), int(one.node[j]), False
 
-    def run(batches):
-        for t in _groups(batches):
-            found = list(solve(_List(t, percent)))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([min(p[:2]) for p in found], pa.int64()), pa.array([max(p[:2]) for p in found], pa.int64()), pa.array([p[2] for p in found], pa.bool_())], ["a", "b", "sure"])
+def _full(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """node, n, values of the nodes listed (node, key, more, id), read from their texts again."""
+    full = map_arrow(docs.filter("id IS NOT NULL"), _sets(width, None, likely(wanted.select("id"))), SETS)
+    return written(full.join(wanted, ["key", "more", "id"]).dropDuplicates(["node"]).select("node", "n", "values"))
 
-    return run
+
+def _exact(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those whose full sets have the similarity."""
+    A, B = (full.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("values").alias(f"v{x}")) for x in "ab")
+    inter = F.size(F.array_intersect("va", "vb"))
+    return written(pairs.join(B, "b").join(A, "a").filter(100 * inter >= percent * (F.col("na") + F.col("nb") - inter)).select("a", "b"))
 
 
-SETS = "id long, n long, node long, more long, values array<long>"
+def _prefixes(full: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """v, node, n, comp, at, key: of each set the rarest values, as far as they tell of partners.
 
+    A partner of no fewer shingles shares 2 t / (1 + t) of n, any partner t of n; so it has one of the first values
+    after the rest of n, up to here ``key`` in the former case.  ``at``: place in that order.  Values of one set only
+    come first and stand in no list; they are counted and not sorted.
+    """
+    values = full.select("node", "n", F.explode("values").alias("v"))
+    shared = values.groupBy("v").agg(F.count("*").alias("sets")).filter("sets > 1")
+    own = Window.partitionBy("node")
+    at = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("sets", "v")) - 1
+    placed = values.join(shared, "v").withColumn("at", at).filter(f"at <= n - ceil({percent} * n / 100)")
+    key = F.expr(f"at <= n - ceil(2 * {percent} * n / (100 + {percent}))")
+    return placed.join(roots, "node", "left").select("v", "node", "n", F.coalesce("root", "node").alias("comp"), "at", key.alias("key"))
 
-def _full(docs: DataFrame, nodes: DataFrame, width: int, keep: int | None) -> DataFrame:
-    """node, n, values of the nodes listed, read from their texts again."""
-    full = map_arrow(docs.filter("id IS NOT NULL"), _sets(width, keep, likely(nodes.select("id"))), SETS)
-    return written(full.join(nodes.select("node", "id"), ["node", "id"]).dropDuplicates(["node"]).select("node", "n", "values"))
 
+def _candidates(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components that may have the similarity, by the places of a value that both list.
 
-def _exact(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose full sets have the similarity."""
-    pairs = written(pairs)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "id"), "node")
-    full = _full(docs, written(wanted), width, None)
-    A, B = (full.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("values").alias(f"v{x}")) for x in "ab")
-    inter = F.size(F.array_intersect("va", "vb"))
-    out = written(pairs.join(B, "b").join(A, "a").filter(100 * inter >= percent * (F.col("na") + F.col("nb") - inter)).select("a", "b"))
-    discard(full)
-    return out
+    Members of one component (of each list the one that a hash picks, by chance the largest) do not meet each other.
+    """
+    main = lists.groupBy("v").agg(F.min_by("comp", F.xxhash64("node")).alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("key").alias("any")).filter("low <> high AND any")
+    lists = written(lists.join(main.select("v", "main"), "v").withColumn("inner", F.col("comp") == F.col("main")).drop("main"))
+    side = lambda t, x: t.select("v", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp", "at")))
+    out = None
+    for one, other in ((lists.filter("key AND NOT inner"), lists), (lists.filter("key AND inner"), lists.filter("NOT inner"))):
+        met = side(one, "a").join(side(other, "b"), "v").filter("comp_a <> comp_b AND (n_a < n_b OR n_a = n_b AND node_a < node_b)")
+        least = f"ceil({percent} * (n_a + n_b) / (100 + {percent}))"
+        met = met.filter(f"100 * n_a >= {percent} * n_b AND least(n_a - at_a, n_b - at_b) >= {least}")
+        met = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+        out = met if out is None else out.union(met)
+    return out.distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, k: int = 64) -> DataFrame:
@@ -279,11 +182,11 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     docs = pick(docs, id=f"{id_col}:long", text=f"{text_col}:string")
     t, need = percent / 100, tail(k, percent / 100)
     raw = written(map_arrow(docs.withColumn("text_key", F.xxhash64("text")), _sets(width, k), SETS + ", text_key long"))
-    sets = written(raw.select("id", "n", "node", "more", "text_key"))
-    chosen = sets.filter("n > 0 AND id IS NOT NULL").groupBy("node", "more").agg(F.min("id").alias("id"))
-    nodes = written(raw.drop("text_key").join(chosen, ["node", "more", "id"]).dropDuplicates(["node"]).select("node", "id", "n", "values"))
+    sets = written(raw.select("id", "n", "key", "more", "text_key"))
+    nodes = written(raw.drop("text_key").join(_named(sets), ["key", "more", "id"]).dropDuplicates(["node"]).select("node", "key", "more", "id", "n", "values"))
     discard(raw)
 
+    known = nodes.select("node", "key", "more", "id")
     table = np.zeros(BUCKETS, np.int64)
     counts = nodes.select(F.explode("values").alias("v")).select((F.col("v").bitwiseAND(BUCKETS - 1)).alias("at")).groupBy("at").count()
     for at, n in counts.toLocalIterator():
@@ -299,24 +202,27 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     near = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union)) >= (t - NEAR) * F.size(union)
     probable = pairs.join(A, "a").join(B, "b").filter(F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb")).filter(near).select("a", "b")
-    first = _exact(probable, docs, nodes, width, percent)
+    probable = written(probable)
+    some = probable.select(F.col("a").alias("node")).union(probable.select(F.col("b").alias("node"))).distinct()
+    full = _full(docs, written(some.join(known, "node")), width)
+    first = _exact(probable, full, percent)
+    discard(full)
     roots = written(components(first))
 
-    placed = written(lists.join(roots, "node", "left").select("v", "node", F.coalesce("root", "node").alias("comp")))
-    columns = ["v", "block", "node", "n", "comp", "side", "values"]
-    sorted_ = lambda t: t.select(columns).repartition("v", "block").sortWithinPartitions("v", "block")
-    near = written(map_arrow(sorted_(_spread(placed).join(nodes.select("node", "n", "values"), "node")), _loose(need, percent), "a long, b long"))
-    loose = written(components(first.union(near)))
-    loose = loose.union(loose.select(F.col("root").alias("node"), "root").distinct()).select("node", F.col("root").alias("v"))
-    rest = _spread(loose.join(roots, "node", "left").select("v", "node", F.coalesce("root", "node").alias("comp")))
-    full = _full(docs, written(rest.select("node").distinct().join(nodes.select("node", "id"), "node")), width, WHOLE)
-    more = written(map_arrow(sorted_(rest.join(full, "node")), _across(WHOLE, percent, tail(WHOLE, t)), "a long, b long, sure boolean").distinct())
-    second = more.filter("sure").select("a", "b").union(_exact(more.filter("NOT sure").select("a", "b"), docs, nodes, width, percent))
+    placed = lists.join(roots, "node", "left").select("v", "node", F.coalesce("root", "node").alias("comp"))
+    open_ = placed.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("v")
+    full = _full(docs, written(lists.join(open_, "v").select("node").distinct().join(known, "node")), width)
+    discard(lists)
+    found = written(_candidates(_prefixes(full, roots, percent), percent))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    asked = F.least(F.lit(need), F.ceil(F.lit(percent) * F.greatest("na", "nb") / 100))
+    second = _exact(found.join(A, "a").join(B, "b").filter(shared >= asked).select("a", "b"), full, percent)
+    discard(full)
     roots = components(first.union(second))
 
-    named = nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    named = known.join(roots, "node", "left").select("key", "more", "id", F.coalesce("root", "node").alias("root"))
     least_id = named.groupBy("root").agg(F.min("id").alias("component"))
-    named = named.join(least_id, "root").select("node", "component", "root")
-    out = sets.select("id", "n", "node", "text_key").join(named, "node", "left")
+    named = named.join(least_id, "root").select("key", "more", "component", "root")
+    out = sets.join(named, ["key", "more"], "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))).cast("long")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), "text_key", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("root")).alias("group"))

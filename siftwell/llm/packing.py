@@ -20,7 +20,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from siftwell.llm.shared import SPACE, pick, slices, span_hashes, text_buffers
+from siftwell.llm.shared import SPACE, eights, pick, slices, span_hashes, text_buffers
 
 BLOCK_TAILS = 16384
 #: Padding of a sequence, in tokens, that is left as it is.
@@ -32,6 +32,18 @@ _SAFE = re.compile(r"[\x09-\x0d\x20-\x7e¡-ɏ]*\Z")
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
 
+def unlike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """The spans whose bytes are not those of the span that ``model`` names for them."""
+    n, m, view = ends - starts, (ends - starts)[model], eights(data)
+    head = lambda at, length: view[at] << (8 * (8 - np.minimum(length, 8))).astype(np.uint64)
+    other = (n != m) | ((n > 0) & (head(starts, n) != head(starts[model], m)))
+    mid = np.flatnonzero((n > 8) & (n == m))
+    other[mid] |= view[ends[mid] - 8] != view[ends[model[mid]] - 8]
+    for i in np.flatnonzero((n > 16) & ~other & (model != np.arange(len(n)))).tolist():
+        other[i] = data[starts[i] : ends[i]].tobytes() != data[starts[model[i]] : ends[model[i]]].tobytes()
+    return np.flatnonzero(other)
+
+
 class Ids:
     """Token ids of texts by a byte-level BPE of ``tokenizers``, remembering those of pieces between white space.
 
@@ -53,7 +65,7 @@ class Ids:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.pieces: dict[str, list[int]] = {}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
@@ -70,8 +82,8 @@ class Ids:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def learn(self, hashes: np.ndarray, raw: list[bytes]) -> None:
-        for h, b in zip(hashes.tolist(), raw, strict=True):
+    def learn(self, raw: list[bytes]) -> None:
+        for b in raw:
             text = b.decode()
             ids = self.of_piece(text) if _SAFE.match(text) else self.whole(text)
             n = len(self.known)
@@ -82,7 +94,7 @@ class Ids:
             self.pool[self.used : self.used + len(ids)] = ids
             self.start[n], self.length[n] = self.used, len(ids)
             self.used += len(ids)
-            self.known[h] = n
+            self.known[b] = n
 
     def of_texts(self, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         """Ids of each text; data and off as from text_buffers."""
@@ -95,19 +107,21 @@ class Ids:
         starts = np.flatnonzero(head)
         ends = np.append(starts[1:], len(data))
         if len(starts):
-            names, first, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-            at = np.array([self.known.get(x, -1) for x in names.tolist()])
-            new = np.flatnonzero(at < 0)
+            _, first, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
             raw = data.tobytes()
-            self.learn(names[new], [raw[starts[i] : ends[i]] for i in first[new]])
+            pieces = [raw[x:y] for x, y in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+            at = np.array([self.known.get(x, -1) for x in pieces])
+            new = np.flatnonzero(at < 0)
+            self.learn([pieces[i] for i in new.tolist()])
             at[new] = np.arange(len(self.known) - len(new), len(self.known))
+            strange = unlike(data, starts, ends, first[back])
             at = at[back]
             n = self.length[at]
             to = np.cumsum(n)
             ids = self.pool[np.repeat(self.start[at] - to + n, n) + np.arange(to[-1])]
             bound = np.append(0, to)[np.searchsorted(starts, off)]
         else:
-            ids, bound = np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+            ids, bound, strange = np.zeros(0, np.uint32), np.zeros(len(off), np.int64), np.zeros(0, np.int64)
         out = [ids[a:b] for a, b in zip(bound[:-1], bound[1:], strict=True)]
         if np.isin(data, np.array([0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3], np.uint8)).any():
             raw = data.tobytes()
@@ -115,6 +129,8 @@ class Ids:
                 text = raw[off[i] : off[i + 1]].decode()
                 if _ODD_SPACE.search(text):
                     out[i] = np.array(self.whole(text), np.uint32)
+        for i in set((np.searchsorted(off, starts[strange], "right") - 1).tolist()):
+            out[i] = np.array(self.whole(data[off[i] : off[i + 1]].tobytes().decode()), np.uint32)
         return out
 
 

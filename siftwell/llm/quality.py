@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.linear import Dense, fit, margins, sigmoid
-from siftwell.llm.shared import LOWER, map_arrow, mix, pick, slices, span_hashes, text_buffers, words
+from siftwell.llm.shared import LOWER, feature_hashes, map_arrow, mix, pick, slices, text_buffers, words
 
 #: Texts that the scorer is fitted on, at most: those of least hash of doc_id.  Hashed features.
 SAMPLE, WIDTH = 4000, 2048
@@ -54,7 +54,7 @@ def measures(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     low = LOWER[data]
     starts, ends, first = words(low, off)
     n = np.diff(first).astype(float)
-    h = span_hashes(low, starts, ends)
+    h = feature_hashes(low, starts, ends)
     doc = np.repeat(np.arange(len(n)), np.diff(first))
     again = np.zeros(len(h))
     again[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])

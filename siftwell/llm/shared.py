@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -124,8 +125,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; equal bytes have equal hashes wherever they stand."""
+def feature_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """As span_hashes, by sums of powers: for hashed features only, as texts can be made that collide here."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = powers(len(data) + 1)
@@ -136,6 +137,39 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+#: Spans of more bytes than this are hashed one by one.
+_LONG = 256
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; behind the end come zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; equal bytes have equal hashes wherever they stand.
+
+    Eight bytes at a time are stirred into a state that every bit of it reaches, so no pattern in the bytes
+    cancels out; spans above ``_LONG`` bytes take BLAKE2.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    n, view = ends - starts, eights(data)
+    h = mix(n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+    h = mix((h ^ (view[starts] & _KEEP[np.minimum(n, 8)])) + np.uint64(0x9E3779B97F4A7C15))
+    rest = np.flatnonzero((n > 8) & (n <= _LONG))
+    at = 8
+    while len(rest):
+        left = n[rest] - at
+        h[rest] = mix((h[rest] ^ (view[starts[rest] + at] & _KEEP[np.minimum(left, 8)])) + np.uint64(0x9E3779B97F4A7C15))
+        rest, at = rest[left > 8], at + 8
+    for i in np.flatnonzero(n > _LONG).tolist():
+        h[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets (one more than rows) of a string column; null counts as empty."""
     if column.null_count:
@@ -244,7 +278,7 @@ def likely(ids: DataFrame):
             at = np.flatnonzero(np.packbits(bits))
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.packbits(bits)[at].astype(np.int16))], ["at", "bits"])
 
-    merged = ids.coalesce(8).mapInArrow(run, "at long, bits short").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    merged = ids.mapInArrow(run, "at long, bits short").groupBy("at").agg(F.bit_or("bits").alias("bits"))
     table = np.zeros(FILTER_BITS // 8, np.uint8)
     for batch in merged.toArrow().to_batches():
         table[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
@@ -261,4 +295,4 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-__all__ = ["binary_array", "discard", "drop_written", "fresh", "grams", "likely", "map_arrow", "mix", "pick", "shared_dir", "shingle_sets", "slices", "span_hashes", "text_buffers", "words", "written"]
+__all__ = ["binary_array", "discard", "drop_written", "eights", "feature_hashes", "fresh", "grams", "likely", "map_arrow", "mix", "pick", "shared_dir", "shingle_sets", "slices", "span_hashes", "text_buffers", "words", "written"]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.linear import Sparse, best_threshold, fit, logit, margins, sigmoid
-from siftwell.llm.shared import LOWER, discard, map_arrow, pick, slices, span_hashes, text_buffers, words, written
+from siftwell.llm.shared import LOWER, discard, feature_hashes, map_arrow, pick, slices, text_buffers, words, written
 
 #: Labelled rows that the models are fitted on, at most: those of least hash of doc_id.
 SAMPLE = 12_000
@@ -42,7 +42,7 @@ def _hash_words(terms) -> np.ndarray:
     raw = [t.encode() for t in terms]
     ends = np.cumsum([len(r) for r in raw])
     data = np.frombuffer(b"".join(raw), np.uint8)
-    return span_hashes(data, ends - [len(r) for r in raw], ends)
+    return feature_hashes(data, ends - [len(r) for r in raw], ends)
 
 
 def _features(data: np.ndarray, off: np.ndarray):
@@ -50,11 +50,11 @@ def _features(data: np.ndarray, off: np.ndarray):
     data = LOWER[data]
     starts, ends, first = words(data, off, _GAP)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
-    whole = span_hashes(data, starts, ends)
+    whole = feature_hashes(data, starts, ends)
     parts, docs = [whole], [doc]
     for n in PREFIXES:
         long = ends - starts > n
-        parts.append(span_hashes(data, starts[long], starts[long] + n) ^ np.uint64(n))
+        parts.append(feature_hashes(data, starts[long], starts[long] + n) ^ np.uint64(n))
         docs.append(doc[long])
     return np.concatenate(docs), np.concatenate(parts), np.diff(first), whole, first
 

@@ -371,3 +371,62 @@ def test_digest_queries_follow_their_operators(spark, docs, tmp_path):
     got = {r.doc_id: r for r in op10_substring_dedup(spark, str(tmp_path)).collect()}
     assert got[118].kept_sha256 == hashlib.sha256(b"").hexdigest()
     assert {len(r.edited_sha256) for r in op9_fingerprints(spark, str(tmp_path)).collect()} == {64}
+
+
+def thue_morse(n=1024):
+    """A word and its complement, which sums of powers modulo 2**64 cannot tell apart."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_collide_in_sums_of_powers(spark):
+    one, two = thue_morse()
+    rows = [(1, " ".join([one] * 3 + [f"x{i}" for i in range(12)])), (2, " ".join([two] * 3 + [f"x{i}" for i in range(12)])), (3, " ".join([one] * 15)), (4, " ".join([two] * 15))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.component_id for r in near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert {r.doc_id: r.n_removed for r in remove_repeats(df).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    ids = packing_ids(pack(df, public_tokenizers.path("byte_bpe_50k.json")))
+    for i, t in rows:
+        assert ids[i] == [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+
+
+def packing_ids(pieces):
+    """doc_id -> ids, from the pieces in order."""
+    out = defaultdict(list)
+    for r in sorted(pieces.collect(), key=lambda r: (r.doc_id, r.start)):
+        out[r.doc_id] += np.frombuffer(bytes(r.tokens), "<u4").tolist()
+    return out
+
+
+def test_a_family_of_templates_is_not_paired_out(spark):
+    """Texts that share all but two words each, below the threshold, and a few true near copies among them."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(104)]
+    rows = []
+    for i in range(600):
+        own = list(base)
+        for at in rng.sample(range(104), 2):
+            own[at] = f"x{rng.randrange(10**7)}"
+        rows.append((i, " ".join(own)))
+    rows += [(600 + i, rows[i][1] + " end") for i in range(5)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()}
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    above = {i: i for i in sets}
+
+    def root(x):
+        while above[x] != x:
+            x = above[x]
+        return x
+
+    ids = sorted(sets)
+    for i in ids:
+        for j in ids[i + 1 :]:
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                above[b] = a
+    assert got == {i: root(i) for i in ids}
