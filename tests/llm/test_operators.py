@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -262,6 +263,39 @@ def test_html(spark):
     assert got[1].n_chars == len(got[1].text) and got[2].text == "" and got[None].text == "" and got[4].n_chars >= 0
 
 
+PROSE = ["It was " + " ".join(f"word{i}x{j}" for i in range(n)) + "." for j, n in enumerate((60, 45, 80, 38))]
+MENU = "<ul>" + "".join(f'<li><a href="/{x}">{x}</a></li>' for x in ("Home", "News", "Sports", "About us")) + "</ul>"
+
+
+def test_html_without_article_markup():
+    body = "".join(f"<p>{p}</p>" for p in PROSE)
+    page = f"<html><body><div>{MENU}</div><div><h2>A heading</h2>{body}</div><div><a href=/x>Older posts</a> <a href=/y>Newer posts</a></div><div>{MENU}</div></body></html>"
+    assert main_text(page) == "\n".join(["A heading", *PROSE])
+
+
+def test_html_with_misleading_classes():
+    body = "".join(f"<p>{p}</p>" for p in PROSE)
+    assert main_text(f'<body><div>{MENU}</div><div class="widget promo">{body}</div><div>{MENU}</div></body>') == "\n".join(PROSE)
+    assert main_text(f'<body class="has-sidebar"><div class="page with-menu widget">{MENU}<article>{body}</article></div></body>') == "\n".join(PROSE)
+    links = "".join(f'<li><a href="/{i}">Another story number {i}</a></li>' for i in range(6))
+    assert main_text(f"<article>{body}<ul>{links}</ul></article>") == "\n".join(PROSE)  # by its links, though the article holds it
+    remarks = "".join(f"<p>I think {p}</p>" for p in PROSE)
+    assert main_text(f'<article>{body}<div class="comments">{remarks}</div></article>') == "\n".join(PROSE)
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<![CDATA[", "<![CDATA[x>", "<!--", "</script ", "<script>", '<a ">', "<a '\">", "<p class=\"", "&amp", "<div></x>"])
+def test_html_of_a_megabyte_is_read_once(piece):
+    began = time.time()
+    main_text("<p>x" + piece * (1_000_000 // len(piece)))
+    assert time.time() - began < 2
+
+
+def test_html_repeated_rows_and_empty_table(spark):
+    df = spark.createDataFrame([(1, "u", "<article>a</article>", "x")] * 2, "page_id long, url string, html string, text string")
+    assert [(r.page_id, r.url, r.text, r.n_chars) for r in extract_text(df).collect()] == [(1, "u", "a", 1)] * 2
+    assert extract_text(df.limit(0)).count() == 0
+
+
 def test_fingerprints(docs, rows, empty):
     got = sorted(edited_fingerprints(docs).withColumn("hex", text_form(F.col("fingerprint"))).collect(), key=lambda r: -r.doc_id)
     order = sorted(rows, key=lambda r: -r[0])
