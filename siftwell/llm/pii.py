@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,12 +41,16 @@ _TABLE = {ord(c): x for c, x in LOOKALIKES.items()}
 _UNSEEN = re.compile(f"[{INVISIBLE}]")
 _ODD = re.compile("[" + INVISIBLE + "".join(sorted(LOOKALIKES)) + "]")
 
+# The same matches as EMAIL and IP, found in linear time: an address around each @, quads from the first figure of a run.
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+_QUAD = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+
 _WORD = "|".join(DIGIT_WORDS)
-_BRACKET = re.compile(r"\s*[(\[{<]\s*(at|dot|@|\.)\s*[)\]}>]\s*", re.I)
+_BRACKET = re.compile(r"(?:(?<!\s)\s+)?[(\[{<]\s*(at|dot|@|\.)\s*[)\]}>]\s*", re.I)
 _DOT = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I)
 _AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])\s+at\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:{DOMAINS})\b)", re.I)
 _ANY_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])\s+at\s+(?=([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+))", re.I)
-_SPELLED = re.compile(rf"(?:\bplus\s+|\+\s*)?(?:\b(?:{_WORD})\b|[0-9]+)(?:(?:[\s,-]+|\.)(?:\b(?:{_WORD})\b|[0-9]+))+", re.I)
+_SPELLED = re.compile(rf"(?:\bplus\s+|\+\s*)?(?:\b(?:{_WORD})\b|(?<![0-9])[0-9]++)(?:(?:[\s,-]++|\.)(?:\b(?:{_WORD})\b|[0-9]++))+", re.I)
 _PART = re.compile(rf"plus|{_WORD}|[\s,-]+", re.I)
 _BRACKETED = re.compile(r"[(\[{<]\s*(?:at|dot|@|\.)\s*[)\]}>]")
 _NAMED = re.compile(rf"\.(?:{DOMAINS})\b")
@@ -139,14 +144,32 @@ def luhn(digits: str) -> bool:
 _NUMBER = re.compile("[0-9]")
 
 
+_NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
+
+
+def _emails(text: str):
+    """Spans of the matches of EMAIL, each character looked at once per side of an @."""
+    end, at = 0, text.find("@")
+    last = 0  # behind the last sign before this @ that no address holds, or behind the address before
+    while at >= 0:
+        for m in _NOT_LOCAL.finditer(text, last, at):
+            last = m.end()
+        start = max(last, end)
+        if start < at and (m := _DOMAIN.match(text, at + 1)):
+            yield start, m.end()
+            end = m.end()
+        last = max(at + 1, end)
+        at = text.find("@", last)
+
+
 def detect(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base matches, in order; kind is an index of KINDS."""
     out = []
     if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+        out += [(a, 0, b) for a, b in _emails(text)]
     if _NUMBER.search(text):
         if "." in text:
-            out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p := x.lstrip("0")) < 4 and int(p or 0) <= 255 for x in m[0].split("."))]
+            out += [(m.start(), 1, m.end()) for m in _QUAD.finditer(text) if all(len(p := x.lstrip("0")) < 4 and int(p or 0) <= 255 for x in m[0].split("."))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 14:
                 digits = m[0].replace(" ", "").replace("-", "")
@@ -157,20 +180,45 @@ def detect(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+class _Held:
+    """Spans by start, and whether one of them holds another."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for a, _, b in sorted(spans):
+            self.starts.append(a)
+            self.ends.append(max(b, self.ends[-1]) if self.ends else b)
+
+    def holds(self, a: int, b: int) -> bool:
+        i = bisect_right(self.starts, a)
+        return i > 0 and self.ends[i - 1] >= b
+
+
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(base spans, spans that only the transducers reveal)."""
+    """(base spans, spans that only the transducers reveal).
+
+    Of the latter none lies within a base span, and of those of one kind that lie in one another the widest stays.
+    """
     base = detect(text)
     tape = _signed(text)
     if tape is None:
         return base, []
-    added, seen = [], text
+    found, seen = [], text
     for one in (tape, tape.rewrite(_spelled(tape.text))):  # a digit word beside a number may spoil it
         if one.text != seen:
-            for a, kind, b in detect(one.text):
-                a, b = one.start[a], one.end[b - 1]
-                if not any(x <= a and b <= y for x, _, y in base + added):
-                    added = [(x, k, y) for x, k, y in added if k != kind or x < a or y > b] + [(a, kind, b)]
+            found.append([(one.start[a], kind, one.end[b - 1]) for a, kind, b in detect(one.text)])
         seen = one.text
+    added: list[tuple[int, int, int]] = []
+    for spans in found:
+        known = _Held(base + added)
+        spans = [s for s in spans if not known.holds(s[0], s[2])]
+        wide = [_Held([s for s in spans if s[1] == k]) for k in range(len(KINDS))]
+        added = [s for s in added if not wide[s[1]].holds(s[0], s[2])]
+        top = -1
+        for a, kind, b in sorted(set(spans), key=lambda s: (s[0], -s[2], s[1])):
+            if b > top:  # what starts later and ends no later lies within another
+                added.append((a, kind, b))
+                top = b
     return base, sorted(added)
 
 

@@ -464,3 +464,67 @@ def test_a_family_of_templates_is_not_paired_out(spark):
                 a, b = sorted((root(i), root(j)))
                 above[b] = a
     assert got == {i: root(i) for i in ids}
+
+
+def plain_base(text):
+    """The base spans of a text, straight from the four patterns."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, f"email:{m.start()}:{m.end()}"))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append((m.start(), 1, f"ip:{m.start()}:{m.end()}"))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = [int(c) for c in m[0] if c in "0123456789"]
+        doubled = [2 * d if i % 2 else d for i, d in enumerate(reversed(digits))]
+        if 14 <= len(digits) <= 19 and sum(d - 9 if d > 9 else d for d in doubled) % 10 == 0:
+            out.append((m.start(), 2, f"card:{m.start()}:{m.end()}"))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= len(re.findall("[0-9]", m[0])) <= 15:
+            out.append((m.start(), 3, f"phone:{m.start()}:{m.end()}"))
+    return ",".join(s for *_, s in sorted(out))
+
+
+def test_base_spans_and_digests_equal_the_patterns(spark, tmp_path):
+    from siftwell.llm.queries import op7_pii
+
+    rng = random.Random(12)
+    bits = ["a@b.c", "@", ".", "1", "22", "300", ".4", "five", "one", "dot", "at", "(at)", "-", "+", "(", ")", "joe", "x.com", "٣", "4111", "1111", "a@", "b@c", ".d", "+1", "555"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", "", "."]) for _ in range(rng.randrange(1, 25))) for _ in range(3000)]
+    texts += ["4111 1111 1111 1111", "x" * 50 + "@" + "y.z" * 40, "1.2.3.4.5.6.7.8", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op7_pii(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        want = plain_base(t or "")
+        assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest(), t
+        assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [want.count(k + ":") for k in ("email", "ip", "card", "phone")]
+        assert not want or set(want.split(",")) <= set(got[i].spans.split(","))
+
+
+def test_disguises_with_offsets():
+    cases = {
+        "Ꮯall: јoe@ех.com or 1.2.3.4": [("email", "јoe@ех.com"), ("ip", "1.2.3.4")],  # Cyrillic letters beside a base span
+        "a@b.co, then ann (at) web [dot] net; IP 10 dot 0 dot 0 dot 1": [("email", "a@b.co"), ("email", "ann (at) web [dot] net"), ("ip", "10 dot 0 dot 0 dot 1")],
+        "١٠.٠.٠.٧ and ｊｏｅ＠ｅｘ．ｃｏｍ": [("ip", "١٠.٠.٠.٧"), ("email", "ｊｏｅ＠ｅｘ．ｃｏｍ")],
+        "to jo\u200be@ex\u200b.com now": [("email", "jo\u200be@ex\u200b.com")],
+        "card: four one one one 1111 1111 1111.": [("card", "four one one one 1111 1111 1111")],
+        "ring oh no +44 20 7946 0958 or plus four four 20 seven nine 46 0958": [("phone", "+44 20 7946 0958"), ("phone", "plus four four 20 seven nine 46 0958")],
+        "mail joe＠ex.com or joe@ex.com": [("email", "joe＠ex.com"), ("email", "joe@ex.com")],
+        "x at y dot org, x at y dot org": [("email", "x at y dot org")],
+    }
+    for t, want in cases.items():
+        base, added = find(t)
+        got = {(k, t[a:b]) for a, k, b in base + added}
+        assert {(("email", "ip", "card", "phone").index(k), x) for k, x in want} <= got, (t, got)
+
+
+@pytest.mark.parametrize("piece", ["1", "1.", "a", "a@", "a@b.", " ", "(at) ", "5 ", "+1 ", "five ", "a dot ", " (at", "one.two.three.four "])
+def test_personal_data_of_a_megabyte_in_one_scan(piece):
+    began = time.time()
+    find(piece * (1_000_000 // len(piece)) + ".@ five 5")
+    assert time.time() - began < 4
+
+
+def test_personal_data_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None, "1.2.3.4"), (5, "1.2.3.4"), (5, "1.2.3.4"), (5, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_ip, r.spans) for r in personal_data(df).collect()) == [(0, 1, "ip:0:7"), (5, 0, ""), (5, 1, "ip:0:7"), (5, 1, "ip:0:7")]
