@@ -148,7 +148,7 @@ def eights(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of the bytes of each span; equal bytes have equal hashes wherever they stand.
 
     Eight bytes at a time are stirred into a state that every bit of it reaches, so no pattern in the bytes
@@ -157,7 +157,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     if not len(starts):
         return np.zeros(0, np.uint64)
     n, view = ends - starts, eights(data)
-    h = mix(n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+    h = mix(n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1 + (seed << 32)))
     h = mix((h ^ (view[starts] & _KEEP[np.minimum(n, 8)])) + np.uint64(0x9E3779B97F4A7C15))
     rest = np.flatnonzero((n > 8) & (n <= _LONG))
     at = 8
@@ -166,7 +166,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         h[rest] = mix((h[rest] ^ (view[starts[rest] + at] & _KEEP[np.minimum(left, 8)])) + np.uint64(0x9E3779B97F4A7C15))
         rest, at = rest[left > 8], at + 8
     for i in np.flatnonzero(n > _LONG).tolist():
-        h[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        h[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, person=seed.to_bytes(8, "little")).digest(), "little")
     return h
 
 

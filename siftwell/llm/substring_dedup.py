@@ -14,8 +14,8 @@ the window, or else two rounds (symbols of two rounds have four words at most, s
 depends on the window's words alone.
 
 1. Picks (about one for four words) are grouped by name: names in one document only are no repeats.
-2. Documents with shared names list the hash of each window with such a pick; the least doc_id of each
-   window decides.  3. The words covered by a window that a smaller doc_id also has are removed.
+2. Documents with shared names list the two hashes (128 bits) of each window with such a pick; the least doc_id
+   of each window decides.  3. The words covered by a window that a smaller doc_id also has are removed.
 Copies of a whole text are put aside first: besides one row each for its key, a large group of them costs
 what one text does, and its names once more for each task that reads some of it.
 """
@@ -99,17 +99,18 @@ def _named(window: int):
     """
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for part in slices(batches, "text"):
             *_, first, h = _parse(part)
             starts, least = picks(h, first, window)
             doc = np.searchsorted(first, starts, "right") - 1
             new = np.ones(len(starts), bool)
             new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
-            node = _sequence_keys(h, first)[:, 0].copy().view(np.int64)
+            key = _sequence_keys(h, first).view(np.int64)
+            node = key[:, 0].copy()
             own = np.zeros(len(node), bool)
             for i in np.flatnonzero(np.diff(first) >= window).tolist():
-                if (x := int(node[i])) not in seen:
+                if (x := (int(key[i, 0]), int(key[i, 1]))) not in seen:
                     if len(seen) >= MEMORY:
                         seen.clear()
                     seen.add(x)
@@ -120,12 +121,19 @@ def _named(window: int):
     return run
 
 
+def _whole(part: pa.RecordBatch, window: int):
+    """Words as _parse, and two independent hashes of the window from each word on, side by side."""
+    data, off, starts, ends, first, h = _parse(part)
+    twice = np.stack([grams(h, window), grams(span_hashes(data, starts, ends, seed=1), window)], 1)
+    return data, off, first, h, np.ascontiguousarray(twice).view("i8,i8").ravel()
+
+
 def _windows(window: int):
     def run(batches):
         for part in slices(batches, "text"):
-            *_, first, h = _parse(part)
+            *_, first, h, whole = _whole(part, window)
             starts, least = picks(h, first, window)
-            whole = grams(h, window)[starts].view(np.int64) if len(starts) else np.zeros(0, np.int64)
+            whole = whole[starts]
             doc = np.searchsorted(first, starts, "right") - 1
             names, at = part.column(2).combine_chunks() if isinstance(part.column(2), pa.ChunkedArray) else part.column(2), np.searchsorted(doc, np.arange(part.num_rows + 1))
             values, ids = [], []
@@ -134,7 +142,8 @@ def _windows(window: int):
                 own = np.unique(own)
                 values.append(own)
                 ids.append(np.full(len(own), i))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), part.column(0).take(pa.array(np.concatenate(ids)))], ["w", "id"])
+            values = np.concatenate(values)
+            yield pa.RecordBatch.from_arrays([pa.array(values["f0"].copy()), pa.array(values["f1"].copy()), part.column(0).take(pa.array(np.concatenate(ids)))], ["w", "u", "id"])
 
     return run
 
@@ -142,8 +151,7 @@ def _windows(window: int):
 def _cut(window: int):
     def run(batches):
         for part in slices(batches, "text"):
-            data, off, starts, ends, first, h = _parse(part)
-            whole = grams(h, window).view(np.int64)
+            data, off, first, h, whole = _whole(part, window)
             copy, gone = part.column(2).to_pylist(), part.column(3)
             total, removed, texts = [], [], []
             for i in range(part.num_rows):
@@ -153,7 +161,9 @@ def _cut(window: int):
                 if n >= window and copy[i]:
                     out, tokens = n, []
                 elif n >= window and gone[i].is_valid:
-                    hit = np.isin(whole[a : b - window + 1], gone[i].values.to_numpy())
+                    listed = gone[i].values
+                    listed = np.stack([listed.field(0).to_numpy(), listed.field(1).to_numpy()], 1).view("i8,i8").ravel()
+                    hit = np.isin(whole[a : b - window + 1], listed)
                     edge = np.zeros(n + 1, np.int64)
                     edge[: len(hit)] += hit
                     edge[window : window + len(hit)] -= hit
@@ -168,10 +178,17 @@ def _cut(window: int):
     return run
 
 
-def _held(known: DataFrame, window: int) -> DataFrame:
-    """node, names: for each text, once however many copies it has, the names that another text has, too."""
+def _held(known: DataFrame, window: int, twins: DataFrame | None = None) -> DataFrame:
+    """node, names: for each text, once however many copies it has, the names that another text has, too.
+
+    twins: nodes that stand for several texts; all their names count as shared.
+    """
     named = map_arrow(known, _named(window), "name long, node long")  # made twice rather than stored
-    shared = named.groupBy("name").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("name")
+    twin = F.lit(False)
+    judged = named
+    if twins is not None:
+        judged, twin = named.join(twins.withColumn("twin", F.lit(True)), "node", "left"), F.coalesce("twin", F.lit(False))
+    shared = judged.groupBy("name").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max(twin).alias("twin")).filter("low < high OR twin").select("name")
     return named.join(shared, "name").groupBy("node").agg(F.collect_set("name").alias("names"))
 
 
@@ -193,17 +210,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = keyed.groupBy("node", "more").agg(F.min("id").alias("least"), F.min_by("t", "id").alias("own"))
     copies = written(keyed.join(least, ["node", "more"]).filter("id > least").groupBy("id").agg(F.collect_set("t").alias("copies")))
 
-    held = written(_held(known, window))
+    twins = least.groupBy("node").agg(F.count("*").alias("texts")).filter("texts > 1").select("node")
+    held = written(_held(known, window, None if twins.isEmpty() else twins))
     held = held.join(least.select("node", F.col("least").alias("id"), F.col("own").alias("t")), "node").select("id", "t", "names")
 
-    windows = written(map_arrow(docs.join(held, ["id", "t"]).select("id", "text", "names"), _windows(window), "w long, id long"))
-    first = windows.groupBy("w").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("w", "first")
-    gone = written(windows.join(first, "w").filter("id > first").groupBy("id").agg(F.collect_set("w").alias("gone")))
+    windows = written(map_arrow(docs.join(held, ["id", "t"]).select("id", "text", "names"), _windows(window), "w long, u long, id long"))
+    first = windows.groupBy("w", "u").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("w", "u", "first")
+    gone = written(windows.join(first, ["w", "u"]).filter("id > first").groupBy("id").agg(F.collect_set(F.struct("w", "u")).alias("gone")))
 
     discard(windows)
 
-    none = F.lit(None).cast("array<long>")
-    plan = copies.select("id", "copies", none.alias("gone")).union(gone.select("id", none, "gone"))
+    none = lambda kind: F.lit(None).cast(f"array<{kind}>")
+    plan = copies.select("id", "copies", none("struct<w:long,u:long>").alias("gone")).union(gone.select("id", none("long"), "gone"))
     plan = plan.groupBy("id").agg(F.first("copies", True).alias("copies"), F.first("gone", True).alias("gone"))  # an id may have both
     copy = F.coalesce(F.array_contains("copies", F.col("t")), F.lit(False)).alias("copy")
     return map_arrow(docs.join(plan, "id", "left").select("id", "text", copy, "gone"), _cut(window), "doc_id long, n_words long, n_removed long, kept_text string")

@@ -20,7 +20,7 @@ from siftwell.llm.mixing import mix_sources, sainte_lague, targets
 from siftwell.llm.near_dedup import near_duplicates
 from siftwell.llm.packing import pack, pack_tails
 from siftwell.llm.pii import find, personal_data, redact, spelled_out
-from siftwell.llm.substring_dedup import _held, _named, remove_repeats
+from siftwell.llm.substring_dedup import _held, _keys, _named, remove_repeats
 from siftwell.llm.topk_search import top_k
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -128,6 +128,14 @@ def test_names_of_a_hot_text_do_not_grow_with_its_copies(spark):
     assert [got[i] for i in (0, 1, 299, 300, 301)] == [0, 60, 60, 60, 60]
 
 
+def test_texts_of_one_node_are_listed_whole(spark):
+    rng = random.Random(15)
+    known = spark.createDataFrame([(i, text(rng, 40, 10**6), i) for i in range(3)], "id long, text string, t long")
+    names = _held(known, 13).collect()
+    node = known.mapInArrow(_keys, "id long, t long, n long, node long, more long").filter("id = 1").select("node")
+    assert names == [] and [r.node for r in _held(known, 13, node).collect()] == [node.first().node]
+
+
 def test_rows_of_one_id_are_decided_by_their_own_texts(spark):
     from siftwell.llm.stages import drop_near_duplicates
 
@@ -399,11 +407,29 @@ def test_pipeline(spark, tmp_path):
 
 
 def test_digest_queries_follow_their_operators(spark, docs, tmp_path):
-    from siftwell.llm.queries import op9_fingerprints, op10_substring_dedup
+    from siftwell.llm.queries import op1_packing, op9_fingerprints, op10_substring_dedup
 
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in op10_substring_dedup(spark, str(tmp_path)).collect()}
     assert got[118].kept_sha256 == hashlib.sha256(b"").hexdigest()
+    seen, kept = set(), {}
+    for i, t in sorted(docs.select("doc_id", "text").collect()):
+        w = WORD.findall(t or "")
+        windows = [tuple(w[j : j + 13]) for j in range(len(w) - 12)]
+        gone = {k for j, x in enumerate(windows) if x in seen for k in range(j, j + 13)}
+        seen.update(windows)
+        kept[i] = " ".join(x for k, x in enumerate(w) if k not in gone)
+    assert {i: r.kept_sha256 for i, r in got.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in kept.items()}
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    pieces = op1_packing(spark, str(tmp_path)).collect()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert {r.doc_id for r in pieces} == set(texts)
+    for r in pieces:
+        ids = np.array([*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 0], "<u4")
+        assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids)
     assert {len(r.edited_sha256) for r in op9_fingerprints(spark, str(tmp_path)).collect()} == {64}
 
 
