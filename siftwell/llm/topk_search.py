@@ -5,7 +5,9 @@ to cells of the nearest pivot.  Each cell is summed up by its pivot and the memb
 best of those real members bound from below what a query's k-th best score can be; with it, a query cannot
 need a vector x of a cell unless q.p + |q| |x - p| reaches that bound.  The least distance |x - p| over the
 queries of a group, from which a group needs a cell's vectors, is a small table; a vector is copied to those
-groups alone, where blocks of vectors are scored against the group's queries, and the best are merged.
+groups alone.  Groups are cells near each other; cells are packed into blocks in the same order, so a
+group's queries go only to the blocks that hold a vector that the group may need.  There they are scored, and
+the best are merged.
 
 Equal vectors share one row that keeps its k + 1 smallest ids (no other can be in a result), so large groups
 of copies never meet in a task.
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 from siftwell.llm.shared import map_arrow, pick, written
 
 #: Pivots at most; queries of a group and vectors of a block, about.
-PIVOTS, GROUP, BLOCK = 256, 2048, 8192
+PIVOTS, GROUP, BLOCK = 4096, 2048, 8192
+#: Components up to this size (after scaling); 8,192 products of them fit into 64 bits.
+LARGEST = 2**25
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -114,18 +118,42 @@ def _solve(width: int, k: int):
     return run
 
 
+def _groups(pivots: np.ndarray, count: int) -> np.ndarray:
+    """The group of each cell: that of the nearest of ``count`` pivots far from each other."""
+    leaders, far = [0], ((pivots - pivots[0]) ** 2).sum(1)
+    nearest = np.zeros(len(pivots), int)
+    for g in range(1, count):
+        leaders.append(int(far.argmax()))
+        d = ((pivots - pivots[leaders[-1]]) ** 2).sum(1)
+        nearest[d < far] = g
+        far = np.minimum(far, d)
+    return nearest
+
+
+def _blocks(sizes: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The block of each cell, and into how many its block is split: cells of a group together, about BLOCK vectors."""
+    block, splits, at, held = np.zeros(len(sizes), int), np.ones(len(sizes), int), 0, 0
+    for c in np.argsort(groups, kind="stable"):
+        if held and held + sizes[c] > BLOCK:
+            at, held = at + 1, 0
+        block[c], held = at, held + sizes[c]
+        splits[c] = max(1, -(-int(sizes[c]) // BLOCK))
+    return block, splits
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k highest integer inner products of each query vector with all other rows, ties to the smaller id.
 
     Queries: rows whose id is divisible by ``every``; candidates: every row but the query's own.  Returns
     query_id long, rank int (from 1), vec_id long, score long; fewer than k rows where there are fewer others.
 
-    Null vectors, and those with null, NaN or infinite components, take no part; nor do rows with a null id.
+    Null vectors, and those with null, NaN or infinite components, take no part; nor do those with a component
+    beyond ``LARGEST`` after scaling, whose scores may leave 64 bits, or rows with a null id.
     Vectors of unequal length are filled up by zeros.  Rows that repeat an id count once for equal vectors;
     a query's own id is never its result.  An empty table gives an empty result.  Other columns are ignored.
     """
     df = pick(vectors, id=f"{id_col}:long", v=f"{vector_col}:array<double>")
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    fine = F.forall("v", lambda x: x.isNotNull() & (F.abs(x * scale) < LARGEST))  # NaN is above all numbers
     x = F.transform("v", lambda c: F.floor(c * scale))
     base = df.filter("id IS NOT NULL AND v IS NOT NULL").filter(fine).select("id", x.alias("x")).withColumn("key", F.unhex(F.sha2(F.to_json("x"), 256))).dropDuplicates(["id", "key"])
     base = written(base)
@@ -148,21 +176,23 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     summary = _matrix(held.column(0).combine_chunks(), width)
     copies = np.diff(np.asarray(held.column(1).combine_chunks().offsets))
 
-    # groups of queries: neighbouring cells together, in order of pivots, so that each has about GROUP queries
-    count = max(1, min(len(pivots), ceil(queries / GROUP)))
-    order = np.argsort(pivots @ (pivots.mean(0) + 1e-3), kind="stable")
-    groups = np.zeros(len(pivots), np.int32)
-    groups[order] = np.arange(len(pivots)) * count // len(pivots)
+    cells = {r[0]: r[1:] for r in placed.groupBy("cell").agg(F.count("*"), F.count_if("query"), F.max("d")).collect()}  # a row a pivot
+    sizes, asking, radius = (np.array([cells.get(c, (0, 0, -1.0))[i] for c in range(len(pivots))]) for i in range(3))
+    groups = _groups(pivots, max(1, min(len(pivots), ceil(queries / GROUP))))
+    parts = np.maximum(1, -(-np.bincount(groups, asking).astype(int) // GROUP))  # of a group with too many queries
+    block, splits = _blocks(sizes, groups)
     asked = placed.filter("query").select("x", "cell")
     reach = map_arrow(asked, _reach(pivots, summary, copies, width, k, groups), "grp int, cell int, need double").groupBy("grp", "cell").agg(F.min("need").alias("need"))
-
-    blocks = max(1, ceil(n / BLOCK))
-    number = F.pmod(F.xxhash64("x"), F.lit(blocks)).cast("int")
-    reach = written(reach)  # at most groups x pivots rows
-    data = placed.join(F.broadcast(reach), "cell").filter("d >= need").select("grp", number.alias("block"), "x", "ids", F.lit(None).cast("binary").alias("key"), F.lit(False).alias("is_query"))
-    of_cell = F.get(F.lit(groups.tolist()), F.col("cell"))
-    mine = placed.filter("query").select(of_cell.cast("int").alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "x", F.lit(None).cast("array<long>").alias("ids"), F.unhex(F.sha2(F.to_json("x"), 256)).alias("key"), F.lit(True).alias("is_query"))
-    found = data.union(mine).groupBy("grp", "block").applyInArrow(_solve(width, k), "q binary, vec_id long, score long")
+    of = lambda table: F.get(F.lit(table.tolist()).cast("array<double>"), F.col("cell"))
+    reach = written(reach.filter(F.col("need") <= of(radius)).select("grp", "cell", "need", of(block).cast("int").alias("bin"), of(splits).cast("int").alias("splits")))
+    spread = F.pmod(F.xxhash64("x"), F.col("splits")).cast("int")
+    every_part = F.explode(F.sequence(F.lit(0), F.get(F.lit(parts.tolist()).cast("array<int>"), F.col("grp")) - 1)).alias("part")
+    data = placed.join(reach, "cell").filter("d >= need").select("grp", every_part, "bin", spread.alias("split"), "x", "ids", F.lit(None).cast("binary").alias("key"), F.lit(False).alias("is_query"))
+    bins = reach.groupBy("grp", "bin").agg(F.max("splits").alias("splits"))
+    mine = placed.filter("query").select(of(groups).cast("int").alias("grp"), "x").join(bins, "grp")
+    part = F.pmod(F.xxhash64("x", F.lit(1)), F.get(F.lit(parts.tolist()).cast("array<int>"), F.col("grp"))).cast("int").alias("part")
+    mine = mine.select("grp", part, "bin", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"), "x", F.lit(None).cast("array<long>").alias("ids"), F.unhex(F.sha2(F.to_json("x"), 256)).alias("key"), F.lit(True).alias("is_query"))
+    found = data.union(mine).groupBy("grp", "part", "bin", "split").applyInArrow(_solve(width, k), "q binary, vec_id long, score long")
     merged = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("r", F.row_number().over(merged)).filter(F.col("r") <= k + 1).select("q", "vec_id", "score")
     pairs = wanted.select(F.col("id").alias("query_id"), F.col("key").alias("q")).join(best, "q").filter("vec_id <> query_id")

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siftwell.llm import quality, toxicity
+from siftwell.llm import quality, topk_search, toxicity
 from siftwell.llm.components import components
 from siftwell.llm.fingerprints import edited_fingerprints, text_form
 from siftwell.llm.html_text import extract_text, main_text
@@ -341,6 +341,24 @@ def test_top_k(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in few] == [(0, 1, 1)]
 
 
+def test_top_k_of_clusters_in_many_groups_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "GROUP", 20)
+    monkeypatch.setattr(topk_search, "BLOCK", 40)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 6)) * 20
+    x = centres[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 6)) * 0.1
+    x[:300] = centres[0] + rng.normal(size=(300, 6)) * 0.1  # a cell with too many queries
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in top_k(df, k=3, every=3).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    whole = np.floor(256 * x).astype(np.int64)
+    for q in range(0, 1500, 3):
+        s = whole @ whole[q]
+        assert got[q] == [(int(j), int(s[j])) for j in np.lexsort((np.arange(1500), -s))[:4] if j != q][:3]
+    assert top_k(spark.createDataFrame([(0, [1e300]), (50, [1.0])], "vec_id long, embedding array<double>")).count() == 0
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(8)
     rows, labels = [], []
