@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell import duck
 from siftwell.functions.transforms import PRESETS
 from siftwell.operators import enrich, pairs, profile, row_quality, sketches, summary, surrogates, synth, visual
 from siftwell.operators.heuristics import scores
@@ -165,6 +166,31 @@ def _cms(spark, d) -> DataFrame:
     return sketches.count_min_query(sketches.count_min(t, "user_id"), t, "user_id")
 
 
+def _cms_bound(spark, d) -> DataFrame:
+    """Whether the count-min estimate of each user is at least its count."""
+    counts = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("value")).agg(F.count("*").alias("n"))
+    return counts.join(_cms(spark, d), "value").select("value", "n", (F.col("estimate") >= F.col("n")).alias("not_below"))
+
+
+def _cardinality_near(spark, d) -> DataFrame:
+    """Whether the approximate cardinality (error 0.02 at one deviation) is within five deviations of the exact one."""
+    df = events(spark, d)
+    near = profile.cardinality(df, EVENT_FEATURES, 0.02).withColumnRenamed("cardinality", "estimate")
+    return profile.cardinality(df, EVENT_FEATURES).join(near, "feature").select("feature", "cardinality", (F.abs(F.col("estimate") - F.col("cardinality")) <= 1 + 0.1 * F.col("cardinality")).alias("near"))
+
+
+def _transformers_only(spark, d) -> DataFrame:
+    t = table(spark, d, "events").select("event_id", "event_type", F.rint(F.sqrt("value")).alias("value_tr_sqrt"), (F.col("user_id") % 20).alias("bucket"))
+    df = categorical(t, ["value_tr_sqrt", "bucket", "event_type"], ["event_id"])
+    found = pairs.median_scores(scores(df, [("value_tr_sqrt", "event_type"), ("bucket", "event_type")], "MI"))
+    return rounded(summary.transformers_only(summary.singles(found, "event_type", normalise=False)), "Score")
+
+
+def _dense(spark, d) -> DataFrame:
+    df = categorical(table(spark, d, "documents").select("doc_id", F.concat_ws(",", "lang", "source").alias("both")), ["both"], ["doc_id"])
+    return enrich.densified(enrich.multivalue(df, ["both"]), df).groupBy("feature", "value").agg(F.count("*").alias("rows"))
+
+
 def _sketched(spark, d) -> DataFrame:
     """Whether the sketch of each key of lineitem is within 1 % of the exact count."""
     t, out = table(spark, d, "lineitem"), None
@@ -222,7 +248,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "transformer_grid": lambda s, d: profile.transformer_grid(profile.numeric_summary(profile.numeric_bounds(events(s, d), ["value", "bucket"]))).select("kind", F.concat_ws(",", "features").alias("features"), F.size("grid").alias("steps")),
     "decorated_names": lambda s, d: rounded(summary.decorated(pairs.median_scores(scores(orders(s, d), TARGET, "MI")), profile.cardinality(orders(s, d), [*ORDERS, LABEL]), profile.coverage(orders(s, d), [*ORDERS, LABEL])), "Score"),
     "singles_aggregated": lambda s, d: rounded(summary.singles_aggregated(_crossed(s, d, 2).select(F.col("FeatureA").alias("Feature"), "Score")), "Score"),
-    "transformers_only": lambda s, d: summary.transformers_only(s.createDataFrame([("a_tr_sqrt", 1.0), ("b", 0.5)], "Feature string, Score double")),
+    "transformers_only": _transformers_only,
+    "cms_bound": _cms_bound,
+    "cardinality_near": _cardinality_near,
+    "baseline_features": lambda s, d: enrich.baseline_features(table(s, d, "events").select("event_id", "event_type", "props", F.when(F.col("event_id") % 3 == 0, "").otherwise("{}").alias("e")), ["event_type", "props", "e"]).select("event_id", F.col("BASELINE-MISSING-PROPORTION").alias("missing"), F.col("BASELINE-DUMMY").alias("dummy")),
+    "nominal_bounds": lambda s, d: profile.nominal_bounds(events(s, d, 4096), ["event_type", "user_id"]),
+    "multivalue_dense": _dense,
     "row_quality": lambda s, d: rounded(row_quality.row_scores(table(s, d, "events").select("event_id", F.col("event_type").alias("t"), "props", F.lit("0").alias("z"), F.when(F.col("event_id") % 3 == 0, "").otherwise("{}").alias("e")), ["t", "props", "z", "e"], ["event_id"]), "entropy"),
     "row_entropy": lambda s, d: rounded(table(s, d, "conversations").select("conv_id", "turn", row_quality.entropy(F.col("text")).alias("entropy")), "entropy"),
     "row_quality_histogram": lambda s, d: rounded(row_quality.metric_histogram(table(s, d, "documents").select("lang", F.char_length("text").cast("double").alias("size")), "lang", "size", 10), "percent"),
@@ -236,7 +267,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hits_at_k": lambda s, d: summary.hits_at(_runs(s, d), "every_1", (1, 2, 3)),
     "rank_stats": lambda s, d: rounded(summary.rank_statistics(_runs(s, d)), "mean_rank", "std_rank"),
     "heatmap": lambda s, d: rounded(visual.heatmap(pairs.both_ways(pairs.median_scores(scores(part(s, d), TRIANGLE, "MI")))), "Score"),
-    "heatmap_pivot": lambda s, d: visual.pivoted(pairs.both_ways(pairs.median_scores(scores(part(s, d), TRIANGLE, "MI")))),
+    "heatmap_pivot": lambda s, d: rounded(visual.pivoted(pairs.both_ways(pairs.median_scores(scores(part(s, d), TRIANGLE, "MI")))), *PART),
     "barplot_topk": lambda s, d: rounded(visual.top_features(pairs.median_scores(scores(orders(s, d), TARGET, "MI")), LABEL, 3), "Score"),
     "cluster_features": lambda s, d: visual.clustered(pairs.both_ways(pairs.median_scores(scores(part(s, d), TRIANGLE, "MI"))))[1],
     "surrogate_sgd": lambda s, d: surrogates.surrogate_scores(orders(s, d), [("o_orderpriority", LABEL)], "surrogate-SGD"),
@@ -277,6 +308,33 @@ SQL_ROWS = """WITH b AS (SELECT event_id, event_type AS t, props, '0' AS z, CASE
  h AS (SELECT event_id, -sum(k / n * log2(k / n)) AS entropy FROM m GROUP BY event_id)
 SELECT k.*, round(entropy, 6) + 0.0 AS entropy FROM k JOIN h USING (event_id)"""
 
+SQL_VALUES = "SELECT row_number() OVER (ORDER BY event_id) - 1 AS idx, value - 50 AS x FROM events"
+_RUNS = "WITH " + ", ".join(
+    f"q{step} AS (SELECT 'every_{step}' AS run, * FROM (WITH " + sql_counts(f"SELECT * FROM ({sql_orders()}) WHERE (idx + 1) % {step} = 0", TARGET) + ", " + sql_median(SQL_MI) + " SELECT FeatureA AS Feature, round(Score, 9) AS Score FROM r))"
+    for step in (1, 2, 4)
+) + ", runs AS (SELECT * FROM q1 UNION ALL SELECT * FROM q2 UNION ALL SELECT * FROM q4)"
+SQL_AMI = (
+    "WITH "
+    + sql_counts(sql_orders(), TARGET)
+    + """, i AS (SELECT FeatureA, FeatureB, max(total) AS total, sum(CAST(n AS DOUBLE) / total * ln(CAST(total AS DOUBLE) * n / (CAST(nx AS DOUBLE) * ny))) AS mi FROM m GROUP BY ALL),
+ y AS (SELECT FeatureA, ny AS b, count(*) AS tb FROM (SELECT DISTINCT FeatureA, y, ny FROM m) GROUP BY ALL), x AS (SELECT FeatureA, nx AS a, count(*) AS ta FROM (SELECT DISTINCT FeatureA, x, nx FROM m) GROUP BY ALL),
+ hy AS (SELECT FeatureA, -sum(tb * CAST(b AS DOUBLE) / total * ln(CAST(b AS DOUBLE) / total)) AS hy FROM y JOIN i USING (FeatureA) GROUP BY FeatureA),
+ hx AS (SELECT FeatureA, -sum(ta * CAST(a AS DOUBLE) / total * ln(CAST(a AS DOUBLE) / total)) AS hx FROM x JOIN i USING (FeatureA) GROUP BY FeatureA),
+ z AS (SELECT FeatureA, CAST(total AS BIGINT) AS n, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, ta, tb, unnest(range(CAST(greatest(1, a + b - total) AS BIGINT), CAST(least(a, b) AS BIGINT) + 1)) AS k FROM x JOIN y USING (FeatureA) JOIN i USING (FeatureA)),
+ e AS (SELECT FeatureA, sum(ta * tb * CAST(k AS DOUBLE) / n * ln(CAST(n AS DOUBLE) * k / (CAST(a AS DOUBLE) * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(n - a + 1) + lgamma(n - b + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(n - a - b + k + 1))) AS e FROM z GROUP BY FeatureA)
+SELECT FeatureA, FeatureB, round((mi - e) / ((hx + hy) / 2 - e), 6) + 0.0 AS Score FROM i JOIN e USING (FeatureA) JOIN hx USING (FeatureA) JOIN hy USING (FeatureA)"""
+)
+SQL_THREE_MR_RANKS = f"""WITH p AS ({SQL_THREE_MR}), rel AS (SELECT a AS f, coalesce(score, 0) AS s FROM p WHERE part = 'relevance'),
+ one AS (SELECT f FROM rel ORDER BY s DESC, f LIMIT 1),
+ pair AS (SELECT part, a, b, score FROM p WHERE part <> 'relevance' UNION SELECT part, b, a, score FROM p WHERE part <> 'relevance'),
+ gain AS (SELECT rel.f, rel.s - coalesce(max(score) FILTER (WHERE part = 'redundancy'), 0) + coalesce(max(score) FILTER (WHERE part = 'relation'), 0) AS g
+  FROM rel JOIN one ON rel.f <> one.f LEFT JOIN pair ON pair.a = rel.f AND pair.b = one.f GROUP BY rel.f, rel.s)
+SELECT f AS Feature, 1 AS rank FROM one UNION ALL SELECT f, CAST(1 + row_number() OVER (ORDER BY g DESC, f) AS INTEGER) FROM gain"""
+SQL_GRID = f"""WITH base AS ({sql_events()}), c AS (SELECT 'value' AS feature, CAST(value AS DOUBLE) AS v FROM base UNION ALL SELECT 'bucket', CAST(bucket AS DOUBLE) FROM base),
+ s AS (SELECT feature, round(min(v), 2) AS lo, round(max(v), 2) AS hi, round(avg(v), 2) AS mid FROM c GROUP BY feature)
+SELECT 'weight' AS kind, feature AS features, {len(profile.WEIGHTS)} AS steps FROM s UNION ALL SELECT 'binner', feature, {profile.BIN_STEPS} FROM s WHERE hi > lo
+ UNION ALL SELECT 'ratio', a.feature || ',' || b.feature, len(list_distinct(list_filter([0, a.lo + b.lo, (a.mid + b.mid) / 10, (a.mid + b.mid) / 5, a.mid + b.mid, least(a.hi, b.hi)], lambda q: q >= 0))) FROM s AS a JOIN s AS b ON a.feature <> b.feature"""
+
 ORACLE_SQL: dict[str, str] = {
     "rank_target_mi_randomized": f"WITH {sql_random(sql_orders(), ORDERS, LABEL)} {SQL_OUT}",
     "rank_stratified": f"WITH {sql_random(sql_orders(), ORDERS, LABEL, 0.3)} {SQL_OUT}",
@@ -294,6 +352,19 @@ ORACLE_SQL: dict[str, str] = {
     "subfeature_one_sided": f"WITH base AS ({sql_events()}), v AS (SELECT DISTINCT event_type AS v FROM base) SELECT 'SUBFEATURE-bucket&' || v AS feature, CASE WHEN event_type = v THEN bucket || 'AND' || event_type ELSE '' END AS value, count(*) AS rows FROM base, v GROUP BY ALL",
     "subfeature_two_sided": f"WITH base AS ({sql_events()}), a AS (SELECT DISTINCT bucket AS va FROM base), b AS (SELECT DISTINCT event_type AS vb FROM base) SELECT 'SUBFEATURE|bucket|event_type-' || va || '&' || vb AS feature, CASE WHEN bucket = va AND event_type = vb THEN '1' ELSE '0' END AS value, count(*) AS rows FROM base, a, b GROUP BY ALL",
     "tr_minimal": SQL_MINIMAL,
+    **{f"tr_{n}": duck.profile(SQL_VALUES, "value", PRESETS[preset], n == "rounded") for n, preset in (("default", "default"), ("extended", "extended"), ("rounded", "extended_rounded"), ("fw", "fw-transformers"), ("verbose", "verbose"))},
+    "admission_filter": duck.admitted(SQL_VALUES, "value", PRESETS["default"]),
+    "rank_ami": SQL_AMI,
+    "three_mr_ranks": SQL_THREE_MR_RANKS,
+    "cms_bound": "SELECT CAST(user_id AS VARCHAR) AS value, count(*) AS n, true AS not_below FROM events GROUP BY ALL",
+    "cardinality_near": f"{_EVENT_CELLS} SELECT feature, count(DISTINCT CASE WHEN value <> '' THEN value END) AS cardinality, true AS near FROM cells GROUP BY feature",
+    "transformer_grid": SQL_GRID,
+    "hits_at_k": f"{_RUNS}, p AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY Score DESC, Feature) AS place FROM runs), k AS (SELECT unnest([1, 2, 3]) AS k) SELECT p.run, CAST(k AS INTEGER) AS k, avg(CASE WHEN b.place <= k THEN 100.0 ELSE 0.0 END) AS hits FROM p JOIN k ON p.place <= k LEFT JOIN p AS b ON b.run = 'every_1' AND b.Feature = p.Feature GROUP BY p.run, k",
+    "rank_stats": f"{_RUNS}, p AS (SELECT *, rank() OVER (PARTITION BY run ORDER BY Score DESC) + (count(*) OVER (PARTITION BY run, Score) - 1) / 2 AS r FROM runs) SELECT Feature, round(avg(r), 6) + 0.0 AS mean_rank, round(stddev_samp(r), 6) + 0.0 AS std_rank FROM p GROUP BY Feature",
+    "heatmap_pivot": f"{_MI_PART}, b AS (SELECT FeatureA, FeatureB, Score FROM r UNION ALL SELECT FeatureB, FeatureA, Score FROM r) SELECT FeatureA, " + ", ".join(f"round(coalesce(avg(Score) FILTER (WHERE FeatureB = '{f}'), 0), 6) + 0.0 AS {f}" for f in PART) + " FROM b GROUP BY FeatureA",
+    "baseline_features": f"SELECT event_id, round_even((CAST(event_type = '' AS INTEGER) + CAST(props = '' AS INTEGER) + CAST(CASE WHEN event_id % 3 = 0 THEN '' ELSE '{{}}' END = '' AS INTEGER)) / 3.0, 1) AS missing, 0 AS dummy FROM events",
+    "nominal_bounds": f"WITH base AS ({sql_events(4096)}), c AS (SELECT batch, 'event_type' AS feature, event_type AS v FROM base UNION ALL SELECT batch, 'user_id', user_id FROM base) SELECT batch, feature, count(DISTINCT v) AS uniques FROM c GROUP BY ALL",
+    "multivalue_dense": "WITH d AS (SELECT doc_id, unnest(list_distinct(string_split(replace(lang || ',' || source, ',', '-'), '-'))) AS v FROM documents), n AS (SELECT v, count(*) AS ones FROM d GROUP BY v), t AS (SELECT count(*) AS rows FROM documents) SELECT 'MULTIEX-both-' || v AS feature, '1' AS value, ones AS rows FROM n UNION ALL SELECT 'MULTIEX-both-' || v, '', rows - ones FROM n, t WHERE rows > ones",
     "tr_by_place": "WITH b AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS idx, p_retailprice / 1000 AS v, count(*) OVER () AS n FROM part), s AS (SELECT row_number() OVER (ORDER BY v, idx) - 1 AS i, v FROM b) SELECT b.idx, round(r.v, 6) + 0.0 AS reverse, round(s.v, 6) + 0.0 AS sort FROM b JOIN b AS r ON r.idx = b.n - 1 - b.idx JOIN s ON s.i = b.idx",
     "coverage": "WITH " + _cells_union(sql_events(4096), EVENT_FEATURES) + ", c AS (SELECT batch, feature, avg(CASE WHEN value IN ('', '{}') THEN 0.0 ELSE 1.0 END) * 100 AS c FROM cells GROUP BY ALL) SELECT feature, round(avg(c), 6) + 0.0 AS coverage FROM c GROUP BY feature",
     "memory_size": f"{_EVENT_CELLS} SELECT feature, round(avg(strlen(trim(value))), 6) + 0.0 AS bytes FROM cells GROUP BY feature",
@@ -304,7 +375,7 @@ ORACLE_SQL: dict[str, str] = {
     "feature_sparsity": "WITH " + _cells_union(SQL_PART, ["p_name", "p_size"]) + ", c AS (SELECT feature, value, count(*) AS n FROM cells GROUP BY ALL) SELECT feature, round(100.0 * count(*) FILTER (WHERE n <= 30) / count(*), 2) AS rare_percent, CASE feature WHEN 'p_size' THEN 'numeric' ELSE 'nominal' END AS kind FROM c GROUP BY feature",
     "numeric_stats": f"SELECT batch, 'value' AS feature, round(min(value), 6) + 0.0 AS minimum, round(max(value), 6) + 0.0 AS maximum, round(avg(value), 6) + 0.0 AS mean, count(DISTINCT value) AS uniques FROM ({sql_events(4096)}) GROUP BY batch",
     "singles_aggregated": f"WITH c AS ({sql_crossed(2)}), e AS (SELECT unnest(string_split(FeatureA, ' AND ')) AS Feature, Score FROM c) SELECT Feature, round(median(Score), 6) + 0.0 AS Score FROM e GROUP BY Feature",
-    "transformers_only": "SELECT 'a_tr_sqrt' AS Feature, CAST(1 AS DOUBLE) AS Score",
+    "transformers_only": "WITH " + sql_counts("SELECT 0 AS batch, event_id AS idx, CAST(round_even(sqrt(value), 0) AS VARCHAR) AS v, CAST(user_id % 20 AS VARCHAR) AS bucket, event_type FROM events", [("v", "event_type"), ("bucket", "event_type")]) + ", " + sql_median(SQL_MI) + " SELECT 'value_tr_sqrt' AS Feature, round(Score, 6) + 0.0 AS Score FROM r WHERE FeatureA = 'v'",
     "row_entropy": "WITH t AS (SELECT conv_id, turn, unnest(string_split(text, '')) AS c, length(text) AS n FROM conversations), k AS (SELECT conv_id, turn, c, count(*) AS m, max(n) AS n FROM t WHERE c <> '' GROUP BY ALL), e AS (SELECT conv_id, turn, -sum(CAST(m AS DOUBLE) / n * log2(CAST(m AS DOUBLE) / n)) AS entropy FROM k GROUP BY ALL) SELECT v.conv_id, v.turn, round(coalesce(entropy, 0), 6) + 0.0 AS entropy FROM conversations AS v LEFT JOIN e USING (conv_id, turn)",
     "row_quality_histogram": "WITH s AS (SELECT lang, CAST(length(text) AS DOUBLE) AS size FROM documents), w AS (SELECT *, min(size) OVER (PARTITION BY lang) AS lo, max(size) OVER (PARTITION BY lang) AS hi FROM s), b AS (SELECT lang, CAST(CASE WHEN hi > lo THEN least(floor((size - lo) / (hi - lo) * 10), 9) ELSE 0 END AS INTEGER) AS bin, count(*) AS n FROM w GROUP BY ALL) SELECT lang, bin, round(100.0 * n / sum(n) OVER (PARTITION BY lang), 6) + 0.0 AS percent FROM b",
     "hll_estimate": "SELECT 'l_orderkey' AS column, count(DISTINCT l_orderkey) AS estimate FROM lineitem",

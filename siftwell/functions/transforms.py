@@ -227,7 +227,7 @@ def _verbose() -> dict[str, str]:
 
 def _rounded() -> dict[str, str]:
     """Rounded in single precision: scaled, rounded half to even, scaled back."""
-    return {f"{k}_round{n}": f"float(rint(float({v}) * float(1E{n})) / 1E{n}D)" for k, v in EXTENDED.items() for n in (1, 2, 3, 4)}
+    return {f"{k}_round{n}": f"float(rint(float(float({v}) * float(1E{n}))) / 1E{n}D)" for k, v in EXTENDED.items() for n in (1, 2, 3, 4)}
 
 
 # Resolutions and limits of the two-sided transforms.
