@@ -352,7 +352,7 @@ ORACLE_SQL: dict[str, str] = {
     "subfeature_one_sided": f"WITH base AS ({sql_events()}), v AS (SELECT DISTINCT event_type AS v FROM base) SELECT 'SUBFEATURE-bucket&' || v AS feature, CASE WHEN event_type = v THEN bucket || 'AND' || event_type ELSE '' END AS value, count(*) AS rows FROM base, v GROUP BY ALL",
     "subfeature_two_sided": f"WITH base AS ({sql_events()}), a AS (SELECT DISTINCT bucket AS va FROM base), b AS (SELECT DISTINCT event_type AS vb FROM base) SELECT 'SUBFEATURE|bucket|event_type-' || va || '&' || vb AS feature, CASE WHEN bucket = va AND event_type = vb THEN '1' ELSE '0' END AS value, count(*) AS rows FROM base, a, b GROUP BY ALL",
     "tr_minimal": SQL_MINIMAL,
-    **{f"tr_{n}": duck.profile(SQL_VALUES, "value", PRESETS[preset], n == "rounded") for n, preset in (("default", "default"), ("extended", "extended"), ("rounded", "extended_rounded"), ("fw", "fw-transformers"), ("verbose", "verbose"))},
+    **{f"tr_{n}": duck.profile(SQL_VALUES, "value", PRESETS[preset]) for n, preset in (("default", "default"), ("extended", "extended"), ("rounded", "extended_rounded"), ("fw", "fw-transformers"), ("verbose", "verbose"))},
     "admission_filter": duck.admitted(SQL_VALUES, "value", PRESETS["default"]),
     "rank_ami": SQL_AMI,
     "three_mr_ranks": SQL_THREE_MR_RANKS,

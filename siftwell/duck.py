@@ -68,13 +68,12 @@ def wide(base: str, column: str, transforms: Mapping[str, str]) -> str:
     return f"base AS ({base}), w AS (SELECT " + ", ".join(f"{translated(e)} AS t{i}" for i, e in enumerate(transforms.values())) + " FROM base)"
 
 
-def profile(base: str, column: str, transforms: Mapping[str, str], single: bool = False) -> str:
-    """feature, rows, finite, low (to 4 places) of each transform; single: values have single precision."""
+def profile(base: str, column: str, transforms: Mapping[str, str]) -> str:
+    """feature, rows, finite, low (to 4 places) of each transform."""
     n = range(len(transforms))
     low = lambda i: f"min(CASE WHEN isfinite(t{i}) THEN t{i} END)"
-    text = lambda i: f"CAST(CAST(CAST(l{i} AS FLOAT) AS VARCHAR) AS DOUBLE)" if single else f"l{i}"
     totals = ", ".join(f"count(*) FILTER (WHERE isfinite(t{i})) AS n{i}, {low(i)} AS l{i}" for i in n)
-    lists = ("[" + ", ".join(f"'{column}{name}'" for name in transforms) + "]", "[" + ", ".join("rows" for _ in n) + "]", "[" + ", ".join(f"n{i}" for i in n) + "]", "[" + ", ".join(f"round({text(i)}, 4)" for i in n) + "]")
+    lists = ("[" + ", ".join(f"'{column}{name}'" for name in transforms) + "]", "[" + ", ".join("rows" for _ in n) + "]", "[" + ", ".join(f"n{i}" for i in n) + "]", "[" + ", ".join(f"round(l{i}, 4)" for i in n) + "]")
     return f"WITH {wide(base, column, transforms)}, s AS (SELECT count(*) AS rows, {totals} FROM w) SELECT " + ", ".join(f"unnest({x}) AS {name}" for x, name in zip(lists, ("feature", "rows", "finite", "low"), strict=True)) + " FROM s"
 
 

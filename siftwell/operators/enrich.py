@@ -56,7 +56,7 @@ def transform_profile(df: DataFrame, columns: Sequence[str], transforms: dict[st
             continue
         wide = _wide(cells, {n: forms[n] for n in names}, "")
         finite = [F.when(F.abs(f"t{i}") < float("inf"), F.col(f"t{i}")) for i in range(len(names))]  # NaN is above all
-        totals = wide.groupBy("column").agg(F.count("*").alias("rows"), *(F.count(v).alias(f"n{i}") for i, v in enumerate(finite)), *(F.min(v).cast("string").cast("double").alias(f"l{i}") for i, v in enumerate(finite)))
+        totals = wide.groupBy("column").agg(F.count("*").alias("rows"), *(F.count(v).alias(f"n{i}") for i, v in enumerate(finite)), *(F.min(v).cast("double").alias(f"l{i}") for i, v in enumerate(finite)))
         pieces = F.explode(F.array(*(F.struct(F.concat("column", F.lit(n)).alias("feature"), F.col("rows"), F.col(f"n{i}").alias("finite"), F.col(f"l{i}").alias("low")) for i, n in enumerate(names))))
         one = totals.select(pieces.alias("p")).select("p.*")
         out = one if out is None else out.union(one)
