@@ -9,8 +9,9 @@
    retain, by a table of counts of fixed size; the order affects cost, never the result.
 3. Each list holds its members against a few of them; the estimate from the sketch of the union drops
    unlikely pairs, the exact Jaccard of full sets decides.  Components of those links come next.
-4. A link between two components shows in a list that spans them.  The sets of the members of such lists are
-   listed again, whole, by their rarest values: pairs of different components that a list brings together
+4. A link between two components shows in a list that spans them, and in ``need`` values of either sketch that
+   other components have, too.  The sets of members of such lists that have so many are listed again, whole, by
+   their rarest values: pairs of different components that a list brings together
    and that the places of its value in both sets allow are tested by their sketches and decided by their full
    sets.  So no link between different components is lost, and members of one component, or of a family of texts
    that only have common values in common, are not paired with each other.
@@ -124,6 +125,13 @@ def _exact(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return written(pairs.join(B, "b").join(A, "a").filter(100 * inter >= percent * (F.col("na") + F.col("nb") - inter)).select("a", "b"))
 
 
+def _spanning(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of lists (v, node, ...) whose value several components list."""
+    placed = lists.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    wide = placed.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("v")
+    return placed.join(wide, "v")
+
+
 def _prefixes(full: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """v, node, n, comp, at, key: of each set the rarest values, as far as they tell of partners.
 
@@ -209,14 +217,15 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     discard(full)
     roots = written(components(first))
 
-    placed = lists.join(roots, "node", "left").select("v", "node", F.coalesce("root", "node").alias("comp"))
-    open_ = placed.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("v")
-    full = _full(docs, written(lists.join(open_, "v").select("node").distinct().join(known, "node")), width)
+    asked = lambda *n: F.least(F.lit(need), F.ceil(F.lit(percent) * (F.greatest(*n) if len(n) > 1 else F.col(n[0])) / 100))
+    placed = written(_spanning(lists, roots).select("node").distinct())
     discard(lists)
+    few = nodes.join(placed, "node").select("node", asked("n").alias("asked"), F.explode("values").alias("v"))
+    wanted = _spanning(few, roots).groupBy("node", "asked").agg(F.count("*").alias("shared")).filter("shared >= asked").select("node")
+    full = _full(docs, written(wanted.join(known, "node")), width)
     found = written(_candidates(_prefixes(full, roots, percent), percent))
     shared = F.size(F.array_intersect("sa", "sb"))
-    asked = F.least(F.lit(need), F.ceil(F.lit(percent) * F.greatest("na", "nb") / 100))
-    second = _exact(found.join(A, "a").join(B, "b").filter(shared >= asked).select("a", "b"), full, percent)
+    second = _exact(found.join(A, "a").join(B, "b").filter(shared >= asked("na", "nb")).select("a", "b"), full, percent)
     discard(full)
     roots = components(first.union(second))
 
