@@ -11,10 +11,11 @@
    unlikely pairs, the exact Jaccard of full sets decides.  Components of those links come next.
 4. A link between two components shows in a list that spans them, and in ``need`` values of either sketch that
    other components have, too.  The sets of members of such lists that have so many are listed again, whole, by
-   their rarest values: pairs of different components that a list brings together
-   and that the places of its value in both sets allow are tested by their sketches and decided by their full
-   sets.  So no link between different components is lost, and members of one component, or of a family of texts
-   that only have common values in common, are not paired with each other.
+   their rarest values, as far as these tell of partners.  Every link lies within a loose group that such lists
+   tie together; texts that only have common values in common are in none.  In such a group an index of
+   the rarest values names the members to compare across components: sets are compared whole, or for very
+   long ones first by larger sketches of the union and then exactly.  So no link between different components is
+   lost, and members of one component are never paired with each other.
 
 Nothing but the table of counts (``BUCKETS`` numbers) is sent to all executors.
 """
@@ -34,6 +35,10 @@ from siftwell.llm.shared import LOWER, discard, likely, map_arrow, mix, pick, sh
 #: Chance that a pair at the threshold fails the tests on sketches.
 MISS = 1e-10
 BUCKETS = 1 << 18
+#: Members of a loose group that are compared in one task; larger groups are cut into such blocks.
+BLOCK = 4096
+#: Sets up to this size are compared whole across components.
+WHOLE = 512
 #: Members of a list that all its members are held against first; how far below the threshold the
 #: estimate for such a pair may lie, and how many of those pairs, by lists shared, each document tries.  All
 #: three only decide what is left for the step across components, which takes every pair that is.
@@ -148,22 +153,142 @@ def _prefixes(full: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     return placed.join(roots, "node", "left").select("v", "node", "n", F.coalesce("root", "node").alias("comp"), "at", key.alias("key"))
 
 
-def _candidates(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components that may have the similarity, by the places of a value that both list.
+def _loose(lists: DataFrame) -> DataFrame:
+    """node, g: groups of nodes that lists of several components tie together, if any member could be the smaller of a pair there."""
+    heads = lists.groupBy("v").agg(F.min("node").alias("head"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("key").alias("any")).filter("low <> high AND any").select("v", "head")
+    tied = written(components(lists.join(heads, "v").select(F.col("node").alias("a"), F.col("head").alias("b"))))
+    return tied.union(tied.select(F.col("root").alias("node"), "root").distinct()).select("node", F.col("root").alias("g"))
 
-    Members of one component (of each list the one that a hash picks, by chance the largest) do not meet each other.
+
+def _spread(members: DataFrame) -> DataFrame:
+    """Of g, node, comp the groups that span components, cut to pairs of blocks: g, node, comp, side, block.
+
+    Members of one component of g (that of a random member, so as a rule the largest) need not meet each other:
+    each goes once to every block of the others, of which there may be few however many it has.
+    """
+    open_ = members.groupBy("g").agg(F.min_by("comp", F.xxhash64("node")).alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("g", "main")
+    rest = members.join(open_, "g").withColumn("inner", F.col("comp") == F.col("main"))
+    sizes = rest.groupBy("g").agg(*(F.greatest(F.lit(1), F.ceil(F.count_if(F.col("inner") == x) / BLOCK)).cast("int").alias(n) for x, n in ((True, "mains"), (False, "others"))))
+    rest = rest.join(sizes, "g").withColumn("side", F.when(F.col("inner"), F.pmod(F.xxhash64("node"), F.col("mains")) + F.col("others")).otherwise(F.pmod(F.xxhash64("node"), F.col("others"))).cast("int"))
+    meets = F.when(F.col("inner"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
+    rest = rest.withColumn("other", F.explode(meets))
+    return rest.select("g", "node", "comp", "side", F.concat_ws(",", F.least("side", "other"), F.greatest("side", "other")).alias("block"))
+
+
+def _groups(batches):
+    """Rows sorted by (g, block), one table for each."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        g, b = t.column("g").to_numpy(), np.array(t.column("block").to_pylist(), object)
+        edges = [0, *(np.flatnonzero((g[1:] != g[:-1]) | (b[1:] != b[:-1])) + 1).tolist()]
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            yield t.slice(x, y - x)
+        held = t.slice(edges[-1])
+    if held is not None and held.num_rows:
+        yield held
+
+
+class _Group:
+    """Members of a loose group, with an index of all their values and one of those that come first.
+
+    needs: how many values a partner shares with each member at least.  A member's values are ordered by how many
+    members have them, rarest first; two that share enough have one in common before the last ``needs`` of either.
+    """
+
+    def __init__(self, t: pa.Table, percent: int, whole: int, least: int):
+        get = lambda c: t.column(c).to_numpy()
+        self.node, self.n, self.side, self.percent = get("node"), get("n"), get("side"), percent
+        block = t.column("block")[0].as_py().split(",")
+        self.cut = block[0] != block[1]
+        lists = t.column("values").combine_chunks()
+        off = np.asarray(lists.offsets)
+        self.off, self.flat = off - off[0], lists.values.to_numpy()[off[0] : off[-1]].view(np.uint64)
+        _, self.at = np.unique(get("comp"), return_inverse=True)
+        self.main = np.bincount(self.at).argmax()
+        self.short = self.n <= whole
+        needs = np.where(self.short, np.minimum(-(-percent * self.n // 100), least), least)
+        length = np.diff(self.off)
+        owner = np.repeat(np.arange(len(self.node)), length)
+        _, back, count = np.unique(self.flat, return_inverse=True, return_counts=True)
+        order = np.lexsort((self.flat, count[back], owner))
+        rank = np.arange(len(self.flat)) - np.repeat(self.off[:-1], length)
+        first = order[rank < np.repeat(np.maximum(length - needs + 1, 1), length)]
+        self.first, self.first_off = self.flat[first], np.searchsorted(owner[first], np.arange(len(self.node) + 1))
+        self.every, self.early = self._index(self.flat, owner), self._index(self.first, owner[first])
+
+    @staticmethod
+    def _index(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        by = np.argsort(values, kind="stable")
+        return values[by], owner[by]
+
+    @staticmethod
+    def _holders(index: tuple[np.ndarray, np.ndarray], values: np.ndarray) -> np.ndarray:
+        """The owners of the values, once for each value."""
+        lo, hi = np.searchsorted(index[0], values, "left"), np.searchsorted(index[0], values, "right")
+        span = hi - lo
+        return index[1][np.repeat(lo - np.cumsum(span) + span, span) + np.arange(span.sum())]
+
+    def outside(self) -> np.ndarray:
+        """Members beside the component that most are in."""
+        return np.flatnonzero(self.at != self.main)
+
+    def values(self, i: int) -> np.ndarray:
+        return self.flat[self.off[i] : self.off[i + 1]]
+
+    def candidates(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Members that i is to be held against and may share enough values with, and how many they share."""
+        found = np.unique(self._holders(self.early, self.first[self.first_off[i] : self.first_off[i + 1]]))
+        may = (self.at[found] != self.at[i]) & ((self.at[found] == self.main) | (found > i)) & (100 * np.minimum(self.n[found], self.n[i]) >= self.percent * np.maximum(self.n[found], self.n[i]))
+        if self.cut:
+            may &= self.side[found] != self.side[i]
+        found = found[may]
+        if len(found) > 64:  # one pass over the whole index costs less
+            return found, np.bincount(self._holders(self.every, self.values(i)), minlength=len(self.node))[found]
+        return found, np.array([np.isin(self.values(j), self.values(i), assume_unique=True).sum() for j in found.tolist()], np.int64)
+
+
+def _across(whole: int, percent: int, least: int):
+    """For loose groups: links between members of different components.
+
+    ``values`` are whole sets up to ``whole`` shingles, else their smallest ``whole``.  Pairs of whole sets
+    are decided here (sure), of which only those that join two components go on; others go to the exact test.
     """
-    main = lists.groupBy("v").agg(F.min_by("comp", F.xxhash64("node")).alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("key").alias("any")).filter("low <> high AND any")
-    lists = written(lists.join(main.select("v", "main"), "v").withColumn("inner", F.col("comp") == F.col("main")).drop("main"))
-    side = lambda t, x: t.select("v", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "comp", "at")))
-    out = None
-    for one, other in ((lists.filter("key AND NOT inner"), lists), (lists.filter("key AND inner"), lists.filter("NOT inner"))):
-        met = side(one, "a").join(side(other, "b"), "v").filter("comp_a <> comp_b AND (n_a < n_b OR n_a = n_b AND node_a < node_b)")
-        least = f"ceil({percent} * (n_a + n_b) / (100 + {percent}))"
-        met = met.filter(f"100 * n_a >= {percent} * n_b AND least(n_a - at_a, n_b - at_b) >= {least}")
-        met = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
-        out = met if out is None else out.union(met)
-    return out.distinct()
+
+    def solve(one: _Group):
+        above = list(range(int(one.at.max()) + 1))
+
+        def root(x):
+            while above[x] != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        n, at, short = one.n, one.at, one.short
+        for i in one.outside():
+            found, both = one.candidates(i)
+            sure = short[found] & short[i]
+            for j in found[sure & (100 * both >= percent * (n[found] + n[i] - both))]:
+                if (x := root(at[i])) != (y := root(at[j])):
+                    above[x] = y
+                    yield int(one.node[i]), int(one.node[j]), True
+            for j in found[~sure & (both >= least)]:
+                if root(at[i]) != root(at[j]):
+                    a, b = one.values(i), one.values(j)
+                    union = np.union1d(a, b)[:whole]
+                    if len(np.intersect1d(np.intersect1d(a, b, True), union, True)) * whole >= least * len(union):
+                        yield int(one.node[i]), int(one.node[j]), False
+
+    def run(batches):
+        for t in _groups(batches):
+            found = list(solve(_Group(t, percent, whole, least)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([min(p[:2]) for p in found], pa.int64()), pa.array([max(p[:2]) for p in found], pa.int64()), pa.array([p[2] for p in found], pa.bool_())], ["a", "b", "sure"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, k: int = 64) -> DataFrame:
@@ -223,9 +348,12 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     few = nodes.join(placed, "node").select("node", asked("n").alias("asked"), F.explode("values").alias("v"))
     wanted = _spanning(few, roots).groupBy("node", "asked").agg(F.count("*").alias("shared")).filter("shared >= asked").select("node")
     full = _full(docs, written(wanted.join(known, "node")), width)
-    found = written(_candidates(_prefixes(full, roots, percent), percent))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    second = _exact(found.join(A, "a").join(B, "b").filter(shared >= asked("na", "nb")).select("a", "b"), full, percent)
+    tied = _loose(written(_prefixes(full, roots, percent)))
+    members = written(_spread(tied.join(roots, "node", "left").select("g", "node", F.coalesce("root", "node").alias("comp"))))
+    cut = full.select("node", "n", F.slice("values", 1, WHOLE).alias("values"))
+    rows = members.join(cut, "node").select("g", "block", "node", "n", "comp", "side", "values").repartition("g", "block").sortWithinPartitions("g", "block")
+    found = written(map_arrow(rows, _across(WHOLE, percent, tail(WHOLE, t)), "a long, b long, sure boolean").distinct())
+    second = found.filter("sure").select("a", "b").union(_exact(found.filter("NOT sure").select("a", "b"), full, percent))
     discard(full)
     roots = components(first.union(second))
 
