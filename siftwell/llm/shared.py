@@ -42,6 +42,7 @@ def written(df: DataFrame, free: bool = True) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     _MADE.append((spark, path, back))
+    del df  # else its own shuffle files outlive the collection below
     if free:
         gc.collect()
         spark.sparkContext._jvm.System.gc()

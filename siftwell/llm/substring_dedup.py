@@ -184,11 +184,12 @@ def _held(known: DataFrame, window: int, twins: DataFrame | None = None) -> Data
     twins: nodes that stand for several texts; all their names count as shared.
     """
     named = map_arrow(known, _named(window), "name long, node long")  # made twice rather than stored
-    twin = F.lit(False)
-    judged = named
-    if twins is not None:
-        judged, twin = named.join(twins.withColumn("twin", F.lit(True)), "node", "left"), F.coalesce("twin", F.lit(False))
-    shared = judged.groupBy("name").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max(twin).alias("twin")).filter("low < high OR twin").select("name")
+    ends = [F.min("node").alias("low"), F.max("node").alias("high")]
+    if twins is None:
+        shared = named.groupBy("name").agg(*ends).filter("low < high").select("name")
+    else:
+        judged = named.join(twins.withColumn("twin", F.lit(1)), "node", "left")
+        shared = judged.groupBy("name").agg(*ends, F.max("twin").alias("twin")).filter("low < high OR twin = 1").select("name")
     return named.join(shared, "name").groupBy("node").agg(F.collect_set("name").alias("names"))
 
 
