@@ -14,7 +14,7 @@ the window, or else two rounds (symbols of two rounds have four words at most, s
 depends on the window's words alone.
 
 1. Picks (about one for four words) are grouped by name: names in one document only are no repeats.
-2. Documents with shared names list the two hashes (128 bits) of each window with such a pick; the least doc_id
+2. Documents with shared names list the two hashes (95 bits) of each window with such a pick; the least doc_id
    of each window decides.  3. The words covered by a window that a smaller doc_id also has are removed.
 Copies of a whole text are put aside first: besides one row each for its key, a large group of them costs
 what one text does, and its names once more for each task that reads some of it.
@@ -122,9 +122,9 @@ def _named(window: int):
 
 
 def _whole(part: pa.RecordBatch, window: int):
-    """Words as _parse, and two independent hashes of the window from each word on, side by side."""
+    """Words as _parse, and two independent hashes (64 and 32 bits) of the window from each word on, side by side."""
     data, off, starts, ends, first, h = _parse(part)
-    twice = np.stack([grams(h, window), grams(span_hashes(data, starts, ends, seed=1), window)], 1)
+    twice = np.stack([grams(h, window), grams(span_hashes(data, starts, ends, seed=1), window) >> np.uint64(33)], 1)
     return data, off, first, h, np.ascontiguousarray(twice).view("i8,i8").ravel()
 
 
@@ -143,7 +143,7 @@ def _windows(window: int):
                 values.append(own)
                 ids.append(np.full(len(own), i))
             values = np.concatenate(values)
-            yield pa.RecordBatch.from_arrays([pa.array(values["f0"].copy()), pa.array(values["f1"].copy()), part.column(0).take(pa.array(np.concatenate(ids)))], ["w", "u", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(values["f0"].copy()), pa.array(values["f1"].astype(np.int32)), part.column(0).take(pa.array(np.concatenate(ids)))], ["w", "u", "id"])
 
     return run
 
@@ -162,7 +162,7 @@ def _cut(window: int):
                     out, tokens = n, []
                 elif n >= window and gone[i].is_valid:
                     listed = gone[i].values
-                    listed = np.stack([listed.field(0).to_numpy(), listed.field(1).to_numpy()], 1).view("i8,i8").ravel()
+                    listed = np.stack([listed.field(0).to_numpy(), listed.field(1).to_numpy().astype(np.int64)], 1).view("i8,i8").ravel()
                     hit = np.isin(whole[a : b - window + 1], listed)
                     edge = np.zeros(n + 1, np.int64)
                     edge[: len(hit)] += hit
@@ -215,14 +215,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = written(_held(known, window, None if twins.isEmpty() else twins))
     held = held.join(least.select("node", F.col("least").alias("id"), F.col("own").alias("t")), "node").select("id", "t", "names")
 
-    windows = written(map_arrow(docs.join(held, ["id", "t"]).select("id", "text", "names"), _windows(window), "w long, u long, id long"))
+    windows = written(map_arrow(docs.join(held, ["id", "t"]).select("id", "text", "names"), _windows(window), "w long, u int, id long"))
     first = windows.groupBy("w", "u").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("w", "u", "first")
     gone = written(windows.join(first, ["w", "u"]).filter("id > first").groupBy("id").agg(F.collect_set(F.struct("w", "u")).alias("gone")))
 
     discard(windows)
 
     none = lambda kind: F.lit(None).cast(f"array<{kind}>")
-    plan = copies.select("id", "copies", none("struct<w:long,u:long>").alias("gone")).union(gone.select("id", none("long"), "gone"))
+    plan = copies.select("id", "copies", none("struct<w:long,u:int>").alias("gone")).union(gone.select("id", none("long"), "gone"))
     plan = plan.groupBy("id").agg(F.first("copies", True).alias("copies"), F.first("gone", True).alias("gone"))  # an id may have both
     copy = F.coalesce(F.array_contains("copies", F.col("t")), F.lit(False)).alias("copy")
     return map_arrow(docs.join(plan, "id", "left").select("id", "text", copy, "gone"), _cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
