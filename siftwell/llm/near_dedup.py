@@ -36,7 +36,7 @@ from siftwell.llm.shared import LOWER, discard, likely, map_arrow, mix, pick, sh
 MISS = 1e-10
 BUCKETS = 1 << 18
 #: Members of a loose group that are compared in one task; larger groups are cut into such blocks.
-BLOCK = 4096
+BLOCK = 2048
 #: Sets up to this size are compared whole across components.
 WHOLE = 512
 #: Members of a list that all its members are held against first; how far below the threshold the
@@ -193,7 +193,7 @@ def _groups(batches):
 
 
 class _Group:
-    """Members of a loose group, with an index of all their values and one of those that come first.
+    """Members of a loose group, with an index of the values that come first, and one of all where it is asked for.
 
     needs: how many values a partner shares with each member at least.  A member's values are ordered by how many
     members have them, rarest first; two that share enough have one in common before the last ``needs`` of either.
@@ -212,13 +212,15 @@ class _Group:
         self.short = self.n <= whole
         needs = np.where(self.short, np.minimum(-(-percent * self.n // 100), least), least)
         length = np.diff(self.off)
-        owner = np.repeat(np.arange(len(self.node)), length)
+        self.owner = np.repeat(np.arange(len(self.node), dtype=np.int32), length)
         _, back, count = np.unique(self.flat, return_inverse=True, return_counts=True)
-        order = np.lexsort((self.flat, count[back], owner))
+        order = np.lexsort((self.flat, count.astype(np.int32)[back], self.owner))
+        del back, count
         rank = np.arange(len(self.flat)) - np.repeat(self.off[:-1], length)
         first = order[rank < np.repeat(np.maximum(length - needs + 1, 1), length)]
-        self.first, self.first_off = self.flat[first], np.searchsorted(owner[first], np.arange(len(self.node) + 1))
-        self.every, self.early = self._index(self.flat, owner), self._index(self.first, owner[first])
+        del order, rank
+        self.first, self.first_off = self.flat[first], np.searchsorted(self.owner[first], np.arange(len(self.node) + 1))
+        self.every, self.early = None, self._index(self.first, self.owner[first])
 
     @staticmethod
     def _index(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,6 +249,7 @@ class _Group:
             may &= self.side[found] != self.side[i]
         found = found[may]
         if len(found) > 64:  # one pass over the whole index costs less
+            self.every = self.every or self._index(self.flat, self.owner)
             return found, np.bincount(self._holders(self.every, self.values(i)), minlength=len(self.node))[found]
         return found, np.array([np.isin(self.values(j), self.values(i), assume_unique=True).sum() for j in found.tolist()], np.int64)
 
