@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.components import components
-from siftwell.llm.shared import LOWER, discard, likely, map_arrow, mix, pick, shingle_sets, slices, text_buffers, written
+from siftwell.llm.shared import LOWER, discard, likely, map_arrow, mix, pick, release, shingle_sets, slices, text_buffers, written
 
 #: Chance that a pair at the threshold fails the tests on sketches.
 MISS = 1e-10
@@ -190,6 +190,7 @@ def _groups(batches):
         held = t.slice(edges[-1])
     if held is not None and held.num_rows:
         yield held
+    release()
 
 
 class _Group:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -187,11 +188,21 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def release() -> None:
+    """Give memory that is free back to the system: workers live on from task to task and would add it up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Batches of about ``most`` bytes of text, so that memory does not hang on Arrow's batch size.
 
     A longer text comes alone and whole.
     """
+    release()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -201,6 +212,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21)
             to = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def words(data: np.ndarray, off: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -296,4 +308,4 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-__all__ = ["binary_array", "discard", "drop_written", "eights", "feature_hashes", "fresh", "grams", "likely", "map_arrow", "mix", "pick", "shared_dir", "shingle_sets", "slices", "span_hashes", "text_buffers", "words", "written"]
+__all__ = ["binary_array", "discard", "drop_written", "eights", "feature_hashes", "fresh", "grams", "likely", "map_arrow", "mix", "pick", "release", "shared_dir", "shingle_sets", "slices", "span_hashes", "text_buffers", "words", "written"]
