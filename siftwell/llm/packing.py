@@ -70,31 +70,36 @@ class Ids:
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def of_piece(self, text: str) -> list[int]:
-        out: list[int] = []
-        for x in self.split(text):
-            ids = self.pieces.get(x)
-            if ids is None:
-                ids = self.pieces[x] = [t.id for t in self.tokenizer.model.tokenize(x.encode().decode("latin-1").translate(self.letters))]
-            out += ids
-        return out
-
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def learn(self, raw: list[bytes]) -> None:
+        """Number new pieces on and keep their ids."""
+        known, split, safe = self.pieces, self.split, _SAFE.match
+        flat: list[int] = []
+        ends: list[int] = []
         for b in raw:
             text = b.decode()
-            ids = self.of_piece(text) if _SAFE.match(text) else self.whole(text)
-            n = len(self.known)
-            if n == len(self.start):
-                self.start, self.length = np.append(self.start, self.start), np.append(self.length, self.length)
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.append(self.pool, self.pool)
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.start[n], self.length[n] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[b] = n
+            if safe(text):
+                for x in split(text):
+                    try:
+                        flat += known[x]
+                    except KeyError:
+                        known[x] = ids = [t.id for t in self.tokenizer.model.tokenize(x.encode().decode("latin-1").translate(self.letters))]
+                        flat += ids
+            else:
+                flat += self.whole(text)
+            ends.append(len(flat))
+        n, total = len(self.known), len(self.known) + len(raw)
+        while total > len(self.start):
+            self.start, self.length = np.append(self.start, self.start), np.append(self.length, self.length)
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.append(self.pool, self.pool)
+        self.pool[self.used : self.used + len(flat)] = flat
+        bounds = np.array([0, *ends], np.int64)
+        self.start[n:total], self.length[n:total] = self.used + bounds[:-1], np.diff(bounds)
+        self.used += len(flat)
+        self.known.update(zip(raw, range(n, total), strict=True))
 
     def of_texts(self, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         """Ids of each text; data and off as from text_buffers."""
